@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import decontaminate, dedup
+from kinloom.llm import bpe, decontaminate, dedup, idstore, licenses, pii, sharding
 from kinloom.llm.store import table
 
 
@@ -18,8 +18,35 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files are installed; every operator takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontaminate, op6_near_dedup)}
+    return {f.__name__: f for f in (op3_licenses, op4_id_store, op5_decontaminate, op6_near_dedup, op7_pii, op9_bpe, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
