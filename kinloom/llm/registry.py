@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import bpe, decontaminate, dedup, idstore, licenses, pii, sharding
+from kinloom.llm import bpe, decontaminate, dedup, idstore, licenses, pii, sharding, webp
 from kinloom.llm.store import table
 
 
@@ -41,12 +41,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.features(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_licenses, op4_id_store, op5_decontaminate, op6_near_dedup, op7_pii, op9_bpe, op10_shards)}
+    return {f.__name__: f for f in (op3_licenses, op4_id_store, op5_decontaminate, op6_near_dedup, op7_pii, op8_media, op9_bpe, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
