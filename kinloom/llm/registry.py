@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import bpe, decontaminate, dedup, idstore, licenses, pii, sharding, webp
+from kinloom.llm import bpe, decontaminate, dedup, idstore, licenses, pii, quality, sharding, toxicity, webp
 from kinloom.llm.store import table
 
 
@@ -29,6 +29,14 @@ def op4_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_licenses, op4_id_store, op5_decontaminate, op6_near_dedup, op7_pii, op8_media, op9_bpe, op10_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_licenses, op4_id_store, op5_decontaminate, op6_near_dedup, op7_pii, op8_media, op9_bpe, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
