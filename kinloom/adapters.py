@@ -66,7 +66,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ld_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """snp1, snp2, r2 between parts that are close by key."""
     part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("snp1"))
-    pairs = part.select("snp1", (F.col("snp1") + F.explode(F.sequence(F.lit(1), F.lit(5)))).alias("snp2")).join(part.select(F.col("snp1").alias("snp2")), "snp2", "left_semi")
+    pairs = part.select("snp1", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.col("snp1") + k)).alias("snp2")).join(part.select(F.col("snp1").alias("snp2")), "snp2", "left_semi")
     k = ((F.col("snp1") + F.col("snp2")) * 17) % 10
     return pairs.where(k < 4).select("snp1", "snp2", (0.6 + k / 10).alias("r2"))
 
@@ -104,4 +104,6 @@ SQL = {
 
 
 def with_sql(names: str, body: str, recursive: bool = False) -> str:
+    if "imputed" in names.split() and "calls" not in names.split():
+        names = "calls " + names
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(SQL[n] for n in names.split()) + "\n" + body

@@ -35,18 +35,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def levels(persons: DataFrame) -> DataFrame:
     """id, depth: the longest way down from a founder, one join for each generation."""
-    edges = parent_edges(persons)
-    ids = persons.select("id")
-    depth = cut(ids.join(edges, ids["id"] == edges["child"], "left_anti").select("id", F.lit(0).alias("depth")))
+    edges = cut(parent_edges(persons))
+    depth = cut(persons.select("id").join(edges.select(F.col("child").alias("id")), "id", "left_anti").withColumn("depth", F.lit(0)))
     front = depth
-    out = depth
     step = 0
     while True:
         step += 1
-        front = cut(front.join(edges, front["id"] == edges["parent"]).select(F.col("child").alias("id")).distinct().withColumn("depth", F.lit(step)))
+        front = cut(edges.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id")).distinct().withColumn("depth", F.lit(step)))
         if front.isEmpty():
-            return out.groupBy("id").agg(F.max("depth").alias("depth"))
-        out = out.union(front)
+            return depth
+        depth = cut(depth.join(front.select("id"), "id", "left_anti").union(front))
 
 
 def parent_edges(persons: DataFrame) -> DataFrame:

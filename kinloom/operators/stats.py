@@ -66,11 +66,15 @@ def mendel_errors(persons: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def r2(genotypes: DataFrame, reach: int, least: int) -> DataFrame:
-    """Squared correlation of SNPs at most ``reach`` apart over their common samples."""
-    a = genotypes.select("smp", F.col("snp").alias("snp1"), F.col("g").alias("x"), (F.col("snp") + F.explode(F.sequence(F.lit(1), F.lit(reach)))).alias("snp2"))
-    b = genotypes.select("smp", F.col("snp").alias("snp2"), F.col("g").alias("y"))
-    out = a.join(b, ["smp", "snp2"]).groupBy("snp1", "snp2").agg(F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
-    return out.where((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0)).select("snp1", "snp2", "n", F.round(F.pow("r", F.lit(2)), 5).alias("r2"))
+    """Squared correlation, in units of 1e-5, of SNPs at most ``reach`` apart over their common samples; integers all
+    the way, so that no rounding depends on the order of rows."""
+    a = genotypes.select("smp", F.col("snp").alias("snp1"), F.col("g").cast("long").alias("x"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda k: F.col("snp") + k)).alias("snp2"))
+    b = genotypes.select("smp", F.col("snp").alias("snp2"), F.col("g").cast("long").alias("y"))
+    total = lambda c, name: F.sum(c).alias(name)
+    x, y = F.col("x"), F.col("y")
+    out = a.join(b, ["smp", "snp2"]).groupBy("snp1", "snp2").agg(F.count("*").alias("n"), total(x, "sx"), total(y, "sy"), total(x * x, "sxx"), total(y * y, "syy"), total(x * y, "sxy"))
+    out = out.select("snp1", "snp2", "n", *[F.expr(e) for e in ("n*sxy-sx*sy AS c", "n*sxx-sx*sx AS vx", "n*syy-sy*sy AS vy")])
+    return out.where((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0)).select("snp1", "snp2", "n", F.expr("c*c*100000 div (vx*vy)").alias("r2_e5"))
 
 
 def override(imputed: DataFrame, typed: DataFrame) -> DataFrame:

@@ -165,40 +165,40 @@ def q_best_segment(s, d):
     return best.select("snp_start", "pair.s0", "pair.s1", "length")
 
 
-_GRID = "grid AS (SELECT DISTINCT c_nationkey AS by, CAST(c_custkey*100 AS BIGINT) AS at FROM customer), pts AS (SELECT DISTINCT s_nationkey AS by, CAST(s_suppkey*1130 AS BIGINT) AS at FROM supplier)"
-_SIDES = _GRID + """, l AS (SELECT p.by, p.at, MAX(g.at) AS l_at FROM pts p LEFT JOIN grid g ON g.by=p.by AND g.at<=p.at GROUP BY 1,2),
-  b AS (SELECT l.by, l.at, l.l_at, MIN(g.at) AS r_at FROM l LEFT JOIN grid g ON g.by=l.by AND g.at>=l.at GROUP BY 1,2,3)"""
+_GRID = "grid AS (SELECT DISTINCT c_nationkey AS grp, CAST(c_custkey*100 AS BIGINT) AS pos FROM customer), pts AS (SELECT DISTINCT s_nationkey AS grp, CAST(s_suppkey*1130 AS BIGINT) AS pos FROM supplier)"
+_SIDES = _GRID + """, l AS (SELECT p.grp, p.pos, MAX(g.pos) AS l_pos FROM pts p LEFT JOIN grid g ON g.grp=p.grp AND g.pos<=p.pos GROUP BY 1,2),
+  b AS (SELECT l.grp, l.pos, l.l_pos, MIN(g.pos) AS r_pos FROM l LEFT JOIN grid g ON g.grp=l.grp AND g.pos>=l.pos GROUP BY 1,2,3)"""
 
 
 def _points(s, d) -> tuple[DataFrame, DataFrame]:
-    grid = ad.load(s, d, "customer").select(F.col("c_nationkey").alias("by"), (F.col("c_custkey") * 100).alias("at")).distinct()
-    return ad.load(s, d, "supplier").select(F.col("s_nationkey").alias("by"), (F.col("s_suppkey") * 1130).alias("at")).distinct(), grid
+    grid = ad.load(s, d, "customer").select(F.col("c_nationkey").alias("grp"), (F.col("c_custkey") * 100).alias("pos")).distinct()
+    return ad.load(s, d, "supplier").select(F.col("s_nationkey").alias("grp"), (F.col("s_suppkey") * 1130).alias("pos")).distinct(), grid
 
 
-@query(f"WITH {_SIDES} SELECT by, at, CASE WHEN r_at IS NULL OR (l_at IS NOT NULL AND at-l_at<r_at-at) THEN l_at ELSE r_at END AS n_at FROM b")
+@query(f"WITH {_SIDES} SELECT grp, pos, CASE WHEN r_pos IS NULL OR (l_pos IS NOT NULL AND pos-l_pos<r_pos-pos) THEN l_pos ELSE r_pos END AS n_pos FROM b")
 def q_nearest_snp(s, d):
     p, g = _points(s, d)
-    return joins.nearest(p, g, "at", [], ["by"])
+    return joins.nearest(p, g, "pos", [], ["grp"])
 
 
-@query(f"WITH {_SIDES} SELECT by, at, CASE WHEN r_at IS NULL OR (l_at IS NOT NULL AND at-l_at<=r_at-at) THEN l_at ELSE r_at END AS n_at FROM b")
+@query(f"WITH {_SIDES} SELECT grp, pos, CASE WHEN r_pos IS NULL OR (l_pos IS NOT NULL AND pos-l_pos<=r_pos-pos) THEN l_pos ELSE r_pos END AS n_pos FROM b")
 def q_nearest_sorted(s, d):
     p, g = _points(s, d)
-    return joins.nearest(p, g, "at", [], ["by"], tie_right=False)
+    return joins.nearest(p, g, "pos", [], ["grp"], tie_right=False)
 
 
-@query(f"WITH {_SIDES} SELECT by, at, l_at FROM b")
+@query(f"WITH {_SIDES} SELECT grp, pos, l_pos FROM b")
 def q_nearest_left(s, d):
     p, g = _points(s, d)
-    return joins.asof_left(p, g, "at", [], ["by"])
+    return joins.asof_left(p, g, "pos", [], ["grp"])
 
 
-@query(f"""WITH {_SIDES} SELECT by, at, ROUND(CASE WHEN l_at IS NULL THEN r_at%97 WHEN r_at IS NULL THEN l_at%97 WHEN l_at=r_at THEN l_at%97
-  ELSE l_at%97 + (r_at%97 - l_at%97)*(at-l_at)/CAST(r_at-l_at AS DOUBLE) END, 6) AS lam FROM b""")
+@query(f"""WITH {_SIDES} SELECT grp, pos, ROUND(CASE WHEN l_pos IS NULL THEN r_pos%97 WHEN r_pos IS NULL THEN l_pos%97 WHEN l_pos=r_pos THEN l_pos%97
+  ELSE l_pos%97 + (r_pos%97 - l_pos%97)*(pos-l_pos)/CAST(r_pos-l_pos AS DOUBLE) END, 6) AS lam FROM b""")
 def q_lambda_interp(s, d):
     p, g = _points(s, d)
-    out = joins.interpolate(p, g.withColumn("lam", (F.col("at") % 97).cast("double")), "at", "lam", ["by"])
-    return out.select("by", "at", F.round("lam", 6).alias("lam"))
+    out = joins.interpolate(p, g.withColumn("lam", (F.col("pos") % 97).cast("double")), "pos", "lam", ["grp"])
+    return out.select("grp", "pos", F.round("lam", 6).alias("lam"))
 
 
 @query(with_sql("segments snps", """SELECT snp, COUNT(*) AS n, COUNT(DISTINCT s0) AS left_samples FROM snps JOIN segments ON snp_start<=snp AND snp<snp_stop GROUP BY snp"""))
@@ -288,12 +288,12 @@ def q_segment2ibd(s, d):
 
 @query(with_sql("segments", f", {_UA}, {_UB}, i AS (SELECT ua.k, SUM(LEAST(ua.b,ub.b)-GREATEST(ua.a,ub.a)) AS n FROM ua JOIN ub ON ua.k=ub.k AND ua.a<ub.b AND ub.a<ua.b GROUP BY 1), "
   "la AS (SELECT k, SUM(b-a) AS n FROM ua GROUP BY k), lb AS (SELECT k, SUM(b-a) AS n FROM ub GROUP BY k) "
-  "SELECT COALESCE(la.k,lb.k) AS k, COALESCE(la.n,0)::BIGINT AS length_a, COALESCE(lb.n,0)::BIGINT AS length_b, COALESCE(i.n,0)::BIGINT AS both FROM la FULL JOIN lb ON la.k=lb.k LEFT JOIN i ON i.k=COALESCE(la.k,lb.k)"))
+  "SELECT COALESCE(la.k,lb.k) AS k, COALESCE(la.n,0)::BIGINT AS length_a, COALESCE(lb.n,0)::BIGINT AS length_b, COALESCE(i.n,0)::BIGINT AS shared FROM la FULL JOIN lb ON la.k=lb.k LEFT JOIN i ON i.k=COALESCE(la.k,lb.k)"))
 def q_compare_segments(s, d):
     a, b = _sides(s, d)
     size = lambda x, n: x.groupBy("k").agg(F.sum(F.col("b") - F.col("a")).alias(n))
     out = size(intervals.union(a, ["k"], "a", "b"), "length_a").join(size(intervals.union(b, ["k"], "a", "b"), "length_b"), "k", "full")
-    return out.join(size(intervals.intersection(a, b, ["k"], 256, "a", "b"), "both"), "k", "left").na.fill(0)
+    return out.join(size(intervals.intersection(a, b, ["k"], 256, "a", "b"), "shared"), "k", "left").na.fill(0)
 
 
 @query(with_sql("segments", f", {_UA} SELECT k, ROUND(100.0*SUM(b-a)/(SELECT MAX(snp_stop) FROM segments), 6) AS coverage FROM ua GROUP BY k"))
@@ -369,12 +369,13 @@ _HOM = "h AS (SELECT c.snp, p.id, c.a0, c.a1 FROM persons p JOIN calls c ON c.sm
 @query(with_sql("calls persons", f""", {_HOM} SELECT COUNT(*) FILTER (f.a0=f.a1 AND f.a0=m.a0 AND m.a0=m.a1 AND f.a0<>0 AND k.a0<>k.a1 AND k.a0<>0 AND k.a1<>0) AS het_of_equal_homs,
   COUNT(*) FILTER (f.a0=f.a1 AND f.a0<>0 AND k.a0=k.a1 AND k.a0<>0 AND k.a0<>f.a0) AS opposite_father,
   COUNT(*) FILTER (m.a0=m.a1 AND m.a0<>0 AND k.a0=k.a1 AND k.a0<>0 AND k.a0<>m.a0) AS opposite_mother, t.id
-  FROM persons t JOIN h k ON k.id=t.id JOIN h f ON f.id=t.father AND f.snp=k.snp JOIN h m ON m.id=t.mother AND m.snp=k.snp GROUP BY t.id"""))
+  FROM persons t JOIN h k ON k.id=t.id JOIN h f ON f.id=t.father AND f.snp=k.snp JOIN h m ON m.id=t.mother AND m.snp=k.snp WHERE t.father<>0 AND t.mother<>0 GROUP BY t.id"""))
 def q_mendel_errors(s, d):
     return stats.mendel_errors(ad.persons(s, d), ad.calls(s, d))
 
 
-@query(with_sql("calls snps", f""", {RECODED}, x AS (SELECT r.snp, smp, g FROM r WHERE g>0) SELECT a.snp AS snp1, b.snp AS snp2, COUNT(*) AS n, ROUND(POWER(CORR(a.g,b.g),2), 5) AS r2
+@query(with_sql("calls snps", f""", {RECODED}, x AS (SELECT r.snp, smp, g FROM r WHERE g>0) SELECT a.snp AS snp1, b.snp AS snp2, COUNT(*) AS n, ((COUNT(*)*SUM(a.g*b.g)-SUM(a.g)*SUM(b.g))*(COUNT(*)*SUM(a.g*b.g)-SUM(a.g)*SUM(b.g))*100000
+  // ((COUNT(*)*SUM(a.g*a.g)-SUM(a.g)*SUM(a.g))*(COUNT(*)*SUM(b.g*b.g)-SUM(b.g)*SUM(b.g))))::BIGINT AS r2_e5
   FROM x a JOIN x b ON a.smp=b.smp AND b.snp BETWEEN a.snp+1 AND a.snp+2 GROUP BY 1,2 HAVING COUNT(*)>=8 AND STDDEV_POP(a.g)>0 AND STDDEV_POP(b.g)>0"""))
 def q_r2_pairs(s, d):
     return stats.r2(_recoded(s, d).where("g > 0"), 2, 8)
@@ -437,9 +438,9 @@ def q_germline_slices(s, d):
     return stats.slice_matches(ad.haps(s, d), 10)
 
 
-@query(with_sql("calls imputed", """, j AS (SELECT *, a0<>0 AND a1<>0 AND b0<>0 AND b1<>0 AS both FROM calls JOIN imputed USING (snp, smp))
-  SELECT snp, COUNT(*) FILTER (both) AS called, COUNT(*) FILTER (both AND a0+a1<>b0+b1) AS discordant, COUNT(*) FILTER (both AND a0<>a1) AS hets,
-  COUNT(*) FILTER (both AND a0<>a1 AND a0+a1<>b0+b1) AS het_discordant FROM j GROUP BY snp"""))
+@query(with_sql("calls imputed", """, j AS (SELECT *, a0<>0 AND a1<>0 AND b0<>0 AND b1<>0 AS ok FROM calls JOIN imputed USING (snp, smp))
+  SELECT snp, COUNT(*) FILTER (ok) AS called, COUNT(*) FILTER (ok AND a0+a1<>b0+b1) AS discordant, COUNT(*) FILTER (ok AND a0<>a1) AS hets,
+  COUNT(*) FILTER (ok AND a0<>a1 AND a0+a1<>b0+b1) AS het_discordant FROM j GROUP BY snp"""))
 def q_impute2_concordance(s, d):
     x, y = F.col("x"), F.col("y")
     both, het = (x > 0) & (y > 0), x == 3
