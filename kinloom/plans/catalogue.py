@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from kinloom import adapters as ad
 from kinloom.adapters import with_sql
 from kinloom.functions import recode as rc
-from kinloom.operators import graph, intervals, joins, sequence, stats
+from kinloom.operators import graph, intervals, joins, kernels, phasing, sequence, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -508,3 +508,37 @@ def q_letters(s, d):
 def q_rank_in_snp(s, d):
     w = W.partitionBy("snp")
     return ad.calls(s, d).select("snp", "smp", F.count("*").over(w).alias("width"), F.rank().over(w.orderBy(F.desc(F.col("a0") + F.col("a1")), "smp")).cast("long").alias("place"))
+
+
+@query()
+def k_hmm_hap(s, d):
+    return kernels.hmm_segments(ad.haps(s, d))
+
+
+@query()
+def k_impute_cliques(s, d):
+    groups = F.floor(F.col("smp") / 4)
+    one = ad.calls(s, d).select("snp", (groups * 2).alias("grp"), "smp", F.lit(0).alias("allele"))
+    cliques = one.union(one.select("snp", F.col("grp") + 1, "smp", F.lit(1)))
+    return kernels.impute(ad.calls(s, d), cliques)
+
+
+@query(with_sql("imputed", """, m AS (SELECT snp, smp//8 AS grp, AVG(CASE WHEN b0<>0 THEN b0 END) AS mean FROM imputed GROUP BY 1,2)
+  SELECT snp, grp, CASE WHEN mean IS NULL THEN 0 WHEN ROUND_EVEN(2*mean, 0)%2=0 THEN (ROUND_EVEN(2*mean, 0)/2)::INTEGER ELSE 0 END AS v FROM m"""))
+def q_consensus_majority(s, d):
+    i = ad.imputed(s, d).select("snp", F.floor(F.col("smp") / 8).alias("grp"), F.col("b0").alias("v"))
+    return kernels.consensus(i, ["snp", "grp"])
+
+
+@query(with_sql("calls persons", """, h AS (SELECT c.snp, p.id AS smp, c.a0, c.a1, CASE WHEN c.a0=c.a1 THEN c.a0 ELSE 0 END AS h FROM persons p JOIN calls c ON c.smp=p.id%64),
+  j AS (SELECT k.snp, k.smp, k.a0, k.a1, k.h, f.h AS fv, m.h AS mv FROM h k JOIN persons p ON p.id=k.smp LEFT JOIN h f ON f.smp=p.father AND f.snp=k.snp AND p.father<>0 LEFT JOIN h m ON m.smp=p.mother AND m.snp=k.snp AND p.mother<>0),
+  s1 AS (SELECT *, CASE WHEN h=0 AND fv<>0 AND (fv=a0 OR fv=a1) THEN fv ELSE h END AS h0 FROM j),
+  s2 AS (SELECT *, CASE WHEN h=0 AND h0<>0 AND a0<>0 AND a1<>0 THEN CASE WHEN a0=h0 THEN a1 WHEN a1=h0 THEN a0 ELSE h END ELSE h END AS h1 FROM s1),
+  s3 AS (SELECT *, CASE WHEN h1=0 AND mv<>0 AND (mv=a0 OR mv=a1) THEN mv ELSE h1 END AS k1 FROM s2),
+  s4 AS (SELECT *, CASE WHEN h0=0 AND k1<>0 AND a0<>0 AND a1<>0 THEN CASE WHEN a0=k1 THEN a1 WHEN a1=k1 THEN a0 ELSE h0 END ELSE h0 END AS k0 FROM s3)
+  SELECT smp, SUM(CASE WHEN k0<>0 THEN 1 ELSE 0 END + CASE WHEN k1<>0 THEN 1 ELSE 0 END)::BIGINT AS filled, 2*COUNT(*) AS total FROM s4 GROUP BY smp"""))
+def q_phase_trivial(s, d):
+    p = ad.persons(s, d)
+    own = p.select(F.col("id"), (F.col("id") % 64).alias("smp")).join(ad.calls(s, d), "smp").select("snp", F.col("id").alias("smp"), "a0", "a1")
+    no = p.withColumns({c: F.when(F.col(c) != 0, F.col(c)) for c in ("father", "mother")})
+    return phasing.fill_rates(phasing.from_parents(phasing.from_homozygous(own), no), "smp")
