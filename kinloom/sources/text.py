@@ -20,7 +20,7 @@ def read_tped(spark: SparkSession, path: str) -> DataFrame:
     """chrom, name, cm, bp, pos (sample place), a0, a1: a row for each SNP and sample."""
     c = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where("trim(value) <> ''").select(c[0].cast("int").alias("chrom"), c[1].alias("name"), c[2].cast("double").alias("cm"), c[3].cast("long").alias("bp"), F.slice(c, 5, F.size(c)).alias("cells"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("cells") / 2 - 1), lambda k: F.struct(F.get("cells", (2 * k).cast("int")).cast("int").alias("a0"), F.get("cells", (2 * k + 1).cast("int")).cast("int").alias("a1")))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("cells") / 2 - 1).cast("int")), lambda k: F.struct(F.get("cells", (2 * k).cast("int")).cast("int").alias("a0"), F.get("cells", (2 * k + 1).cast("int")).cast("int").alias("a1")))
     return rows.select("chrom", "name", "cm", "bp", F.posexplode(pairs)).select("chrom", "name", "cm", "bp", "pos", "col.a0", "col.a1")
 
 
