@@ -106,11 +106,11 @@ def model(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
     for k in range(1, order + 1):
         c = counts[k]
         of = c.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)])
-        y = F.when(F.col("t1") + F.col("t2") > 0, F.col("t1") / (F.col("t1") + 2 * F.col("t2"))).otherwise(F.lit(0.5))
+        y = F.coalesce(F.try_divide("t1", F.col("t1") + 2 * F.col("t2")), F.lit(0.5))
 
         def discount(i: int, y: Column = y) -> Column:
-            d = F.lit(float(i)) - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}")
-            return F.when((F.col(f"t{i}") > 0) & (d > 0) & (d < i), d).otherwise(F.lit(0.5) * i)
+            d = F.lit(float(i)) - F.try_divide((i + 1) * y * F.col(f"t{i + 1}"), F.col(f"t{i}"))
+            return F.when((d > 0) & (d < i), d).otherwise(F.lit(0.5 * i))
 
         of = of.select("lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -245,7 +245,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, low: float
     known = scored.where("log_perplexity is not null").join(ids, "doc_id", "left_semi")
     limits = known.groupBy(F.col("lang").alias("of")).agg((F.percentile(rounded, F.lit(low)) - margin).alias("low"), (F.percentile(rounded, F.lit(high)) + margin).alias("high"))
     out = scored.join(F.broadcast(staged(limits, "limits")), F.col("lang") == F.col("of"), "left")
-    slack = F.lit(SLACK) / F.sqrt("n_bytes")
+    slack = F.lit(SLACK) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
     keep = (F.col("n_bytes") > 0) & (F.col("log_perplexity").isNull() | F.col("of").isNull() | F.col("log_perplexity").between(F.col("low") - slack, F.col("high") + slack))
     return out.select("doc_id", "lang", "n_bytes", "log_perplexity", "low", "high", keep.alias("keep"))
 
