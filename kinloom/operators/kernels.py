@@ -137,6 +137,26 @@ def affinity_cliques(edges: list[tuple], weights: list[float], theta: float = 0.
     return sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def disjoint_groups(covered: DataFrame, region: int = 4096) -> DataFrame:
+    """k, lo, hi, members: components of the pairs (a, b) on each atom. Atoms are handed over by region, as a call for
+    each would cost more than its work."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        pairs: dict = {}
+        for lo, hi, a, b in zip(part["lo"].tolist(), part["hi"].tolist(), part["a"].tolist(), part["b"].tolist(), strict=True):
+            pairs.setdefault((lo, hi), []).append((a, b))
+        rows = []
+        for (lo, hi), edges in pairs.items():
+            groups: dict = {}
+            for n, c in union_find(edges).items():
+                groups.setdefault(c, []).append(n)
+            rows += [(lo, hi, sorted(g)) for g in groups.values()]
+        out = pd.DataFrame(rows, columns=["lo", "hi", "members"])
+        return out.assign(k=part["k"].iloc[0])[["k", "lo", "hi", "members"]]
+
+    return covered.groupBy("k", F.floor(F.col("lo") / region).alias("region")).applyInPandas(run, "k long, lo long, hi long, members array<long>")
+
+
 def impute_snp(genotype: dict[int, tuple[int, int]], cliques: list[list[tuple[int, int]]], threshold: float = 0.66, most: int = 1000) -> dict[tuple[int, int], int]:
     """Alleles of (sample, allele) haplotypes at one SNP, spread through cliques from homozygous training samples.
 

@@ -542,3 +542,75 @@ def q_phase_trivial(s, d):
     own = p.select(F.col("id"), (F.col("id") % 64).alias("smp")).join(ad.calls(s, d), "smp").select("snp", F.col("id").alias("smp"), "a0", "a1")
     no = p.withColumns({c: F.when(F.col(c) != 0, F.col(c)) for c in ("father", "mother")})
     return phasing.fill_rates(phasing.from_parents(phasing.from_homozygous(own), no), "smp")
+
+
+@query()
+def k_group_to_disjoint(s, d):
+    """Connected groups of haplotypes on every piece between end points."""
+    g = ad.segments(s, d).select((F.col("s0") % 10).alias("k"), "snp_start", "snp_stop", (F.col("s0") * 2 + F.col("a0")).alias("a"), (F.col("s1") * 2 + F.col("a1")).alias("b"))
+    return kernels.disjoint_groups(intervals.covered_atoms(g, ["k"], 64, "snp_start", "snp_stop")).withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), ","))
+
+
+@query(with_sql("calls imputed", """SELECT snp, smp, CASE WHEN tag=3 AND a0<>0 AND a1<>0 AND b0<>0 AND b1<>0 AND a0+a1=b0+b1 THEN a0 ELSE b0 END AS o0,
+  CASE WHEN tag=3 AND a0<>0 AND a1<>0 AND b0<>0 AND b1<>0 AND a0+a1=b0+b1 THEN a1 ELSE b1 END AS o1 FROM imputed JOIN calls USING (snp, smp)"""))
+def q_override_ld(s, d):
+    """Phased alleles of equal dosage laid over genotypes that were imputed by linkage."""
+    j = _pairs(s, d)
+    take = (F.col("tag") == 3) & (F.col("x") > 0) & (F.col("y") > 0) & (F.col("a0") + F.col("a1") == F.col("b0") + F.col("b1"))
+    return j.select("snp", "smp", F.when(take, F.col("a0")).otherwise(F.col("b0")).alias("o0"), F.when(take, F.col("a1")).otherwise(F.col("b1")).alias("o1"))
+
+
+@query(with_sql("imputed", """, w AS (SELECT *, CASE WHEN smp%5=0 THEN -1 ELSE 1 END AS phase FROM imputed)
+  SELECT snp, smp, CASE WHEN phase<0 THEN b1 ELSE b0 END AS o0, CASE WHEN phase<0 THEN b0 ELSE b1 END AS o1, CASE WHEN tag=1 THEN 2 ELSE tag END AS tag FROM w"""))
+def q_flip_origin(s, d):
+    """Alleles swapped where a sample's origin is reversed; aligned phased genotypes are tagged so."""
+    flip = F.col("smp") % 5 == 0
+    return ad.imputed(s, d).select("snp", "smp", F.when(flip, F.col("b1")).otherwise(F.col("b0")).alias("o0"), F.when(flip, F.col("b0")).otherwise(F.col("b1")).alias("o1"), F.when(F.col("tag") == 1, 2).otherwise(F.col("tag")).alias("tag"))
+
+
+@query("""WITH m AS (SELECT o_custkey%100 AS clique, o_orderstatus AS side, MEDIAN(o_orderkey%1000) AS kin, COUNT(*) AS n FROM orders GROUP BY 1,2)
+  SELECT clique, COUNT(*) AS sides, SUM(n)::BIGINT AS members, MAX(kin)::DOUBLE AS top, MIN(kin)::DOUBLE AS low FROM m WHERE n>=3 GROUP BY clique""")
+def q_poo_medians(s, d):
+    """Median relatedness for each clique and side, of sides with at least three members."""
+    m = ad.load(s, d, "orders").groupBy((F.col("o_custkey") % 100).alias("clique"), F.col("o_orderstatus").alias("side")).agg(F.percentile(F.col("o_orderkey") % 1000, F.lit(0.5)).alias("kin"), F.count("*").alias("n"))
+    return m.where("n >= 3").groupBy("clique").agg(F.count("*").alias("sides"), F.sum("n").alias("members"), F.max("kin").alias("top"), F.min("kin").alias("low"))
+
+
+@query(with_sql("calls", f""", {RECODED}, c AS (SELECT snp, AVG(CASE WHEN g>0 THEN 1.0 ELSE 0.0 END) AS cr, LEAST(SUM(CASE WHEN g>0 THEN g-2 ELSE 0 END), SUM(CASE WHEN g>0 THEN 4-g ELSE 0 END)) AS minor, COUNT(*) FILTER (g>0) AS n FROM r GROUP BY snp)
+  SELECT snp FROM c WHERE cr>=0.6 AND n>0 AND minor*20>=2*n"""))
+def q_marker_qc(s, d):
+    """SNPs that pass call rate and minor allele frequency."""
+    g = F.col("g")
+    c = _recoded(s, d).groupBy("snp").agg(F.avg((g > 0).cast("double")).alias("cr"), F.least(F.sum(F.when(g > 0, g - 2).otherwise(0)), F.sum(F.when(g > 0, 4 - g).otherwise(0))).alias("minor"), _n(g > 0).alias("n"))
+    return c.where("cr >= 0.6 and n > 0 and minor * 20 >= 2 * n").select("snp")
+
+
+@query(with_sql("ld", """, x AS (SELECT snp1, snp2, r2 FROM ld), y AS (SELECT snp1, snp2, r2-0.1 AS r2 FROM ld WHERE snp1%3<>0)
+  SELECT x.snp1%50 AS block, COUNT(*) AS n, ROUND(MAX(ABS(x.r2-y.r2)), 6) AS most FROM x JOIN y USING (snp1, snp2) GROUP BY 1"""))
+def q_compare_ld(s, d):
+    """Two linkage results on their common pairs."""
+    x = ad.ld_edges(s, d)
+    y = x.where("snp1 % 3 <> 0").select("snp1", "snp2", (F.col("r2") - 0.1).alias("q2"))
+    return x.join(y, ["snp1", "snp2"]).groupBy((F.col("snp1") % 50).alias("block")).agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("r2") - F.col("q2"))), 6).alias("most"))
+
+
+@query(with_sql("segments", """, t AS (SELECT s0, a0, s1, SUM(bp_stop-bp_start)::BIGINT AS total FROM segments GROUP BY 1,2,3), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY s0, a0 ORDER BY total DESC, s1) AS k FROM t)
+  SELECT s0, a0, s1, total FROM r WHERE k<=3"""))
+def q_closest_relatives(s, d):
+    """The three samples that share most with each haplotype (a top-k report)."""
+    t = ad.segments(s, d).groupBy("s0", "a0", "s1").agg(F.sum(F.col("bp_stop") - F.col("bp_start")).alias("total"))
+    return t.withColumn("k", F.row_number().over(W.partitionBy("s0", "a0").orderBy(F.desc("total"), "s1"))).where("k <= 3").drop("k")
+
+
+@query("""SELECT user_id, event_type, COUNT(*) AS n, ROUND(AVG(CASE WHEN event_id%2=0 THEN 1.0 ELSE 0.0 END), 6) AS even FROM events GROUP BY user_id, event_type HAVING COUNT(*)>1""")
+def q_duplicates(s, d):
+    """Keys that occur more than once."""
+    e = ad.load(s, d, "events")
+    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.avg((F.col("event_id") % 2 == 0).cast("double")), 6).alias("even")).where("n > 1")
+
+
+@query("""WITH g AS (SELECT n_nationkey AS by, unnest(range(0, n_nationkey+3)) AS k, n_name AS name FROM nation) SELECT by AS nation, COUNT(*)::BIGINT AS n, SUM(k)::BIGINT AS total, MAX(REVERSE(TRANSLATE(name, 'ACGT', 'TGCA'))) AS turned FROM g GROUP BY by""".replace(" by,", " grp,").replace("SELECT by ", "SELECT grp ").replace("GROUP BY by", "GROUP BY grp"))
+def q_reverse_complement(s, d):
+    """Exploded ranges, and names as bases turned round."""
+    g = ad.load(s, d, "nation").select(F.col("n_nationkey").alias("nation"), F.explode(F.sequence(F.lit(0), F.col("n_nationkey") + 2)).alias("k"), F.col("n_name").alias("name"))
+    return g.groupBy("nation").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.max(rc.reverse_complement(F.col("name"))).alias("turned"))

@@ -36,6 +36,13 @@ def test_intervals(spark):
     assert rows(intervals.union(df([(0, 7), (4, 9), (2, 5), (10, 100)]), ["g"]), "start", "stop") == [(0, 9), (10, 100)]
 
 
+def test_group_to_disjoint(spark):
+    pairs = [(0, 50, 1, 2), (50, 100, 1, 3), (50, 300, 2, 4), (100, 200, 3, 4)]
+    df = spark.createDataFrame([(0, *p) for p in pairs], "k long, start long, stop long, a long, b long")
+    got = rows(kernels.disjoint_groups(intervals.covered_atoms(df, ["k"], 64)), "lo", "hi", "members")
+    assert got == [(0, 50, [1, 2]), (50, 100, [1, 3]), (50, 100, [2, 4]), (100, 200, [2, 3, 4]), (200, 300, [2, 4])]
+
+
 def test_range_join_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     a = [(int(s), int(s + n)) for s, n in zip(rng.integers(0, 300, 60), rng.integers(0, 40, 60), strict=True)]
