@@ -6,12 +6,13 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.llm import bpe, decontaminate, dedup, idstore, licenses, pii, quality, sharding, toxicity, webp
+from kinloom.llm import bpe, decontaminate, dedup, idstore, licenses, pii, quality, registry, sharding, toxicity, webp
 from kinloom.llm import text as tx
 from kinloom.llm.registry import tokenizer_path
 
@@ -323,6 +324,10 @@ def test_terms_that_give_entities_away(spark, odd, empty):
     assert {(r.entity, r.term) for r in pii.disclosures(df).collect()} == {("email:ann@x.org", "zorbulon")}
     got = {r.doc_id: r for r in pii.report(df).collect()}
     assert got[0].n_terms == 1 and got[0].spans.startswith("term:0:8,email:") and got[10].spans == ""
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": [r[0] for r in told + rest], "text": [r[1] for r in told + rest]}))
+    sql = db.sql(registry.op7_sql())
+    assert {tuple(r) for r in sql.fetchall()} == {tuple(r[c] for c in sql.columns) for r in got.values()}
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert clean[0].startswith("<TERM> today wrote from <EMAIL> the other day.") and clean[10] == rest[0][1]
     copies = spark.createDataFrame([(k, told[0][1]) for k in range(9)], "doc_id long, text string")
