@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ from kinloom.llm.store import drop_staged, new_path, staged
 
 END_ID = 2
 LEAST, MEAN, MOST = 32, 128, 1024
+#: Entries in each of two generations of a worker's caches.
+CACHE_WORDS, CACHE_CHUNKS = 20_000, 500_000
 WINDOW = 16
 _GEAR = np.random.default_rng(4801).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 #: White space next to a space; without it each space belongs to the word after it.
@@ -58,22 +61,32 @@ class Encoder:
         self.alphabet = byte_alphabet()
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
         self.special = list(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.words, self.chunks = Cache(self._word), Cache(self._chunk)
+        self.bytes_as = {b: c for b, c in enumerate(self.alphabet)}
+        self.words, self.chunks = Cache(self._word, CACHE_WORDS), Cache(self._chunk, CACHE_CHUNKS)
 
     def _word(self, word: str) -> bytes:
-        letters = self.alphabet
-        return np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))], "<u4").tobytes()
+        letters = word.encode().decode("latin-1").translate(self.bytes_as)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        """Of what stands between two spaces, with the one before it."""
+        core = chunk[1:] if chunk[:1] == " " else chunk
+        if core.isalpha():
+            return self._word(chunk)
+        if core[:-1].isalpha() and core[-1] in ",.":
+            return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
+        return self._text(chunk)
+
+    def _text(self, text: str) -> bytes:
         words = self.words
-        return b"".join([words[w] for w in self.pattern.findall(chunk)])
+        return b"".join([words[w] for w in self.pattern.findall(text)])
 
     def encode(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _RUN.search(text):
-            return self._chunk(text)
+            return self._text(text)
         first, *rest = text.split(" ")
         chunks = self.chunks
         return b"".join([chunks[first], *[chunks[" " + c] for c in rest]])
@@ -88,18 +101,22 @@ def loaded(path: str) -> Encoder:
     return _loaded[path]
 
 
-def cut_points(ids: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
-    """Ends of the chunks of one stream. A cut comes after a window of ids whose hash ends in zeros, at least ``least``
-    and at most ``most`` ids after the last one."""
+def marks(ids: np.ndarray, mean: int = MEAN) -> np.ndarray:
+    """Positions after which the hash of the last WINDOW ids ends in zeros."""
     n = len(ids)
     value = np.zeros(max(0, n - WINDOW + 1), np.uint32)
     gear = _GEAR[ids & 0xFFFF]
     for k in range(WINDOW):
         value += gear[k : k + len(value)] << np.uint32(WINDOW - 1 - k)
-    zeros = mean.bit_length() - 1
-    marks = (np.flatnonzero((value >> np.uint32(WINDOW - 1)) & np.uint32((1 << zeros) - 1) == 0) + WINDOW).tolist()
+    return np.flatnonzero((value >> np.uint32(WINDOW - 1)) & np.uint32(mean - 1) == 0) + WINDOW
+
+
+def cut_points(ids: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST, at: list[int] | None = None) -> list[int]:
+    """Ends of the chunks of one stream: marks at least ``least`` ids after the last end, and an end after ``most`` ids
+    without one. As ``least`` isn't less than the window, marks of a window that began before the stream don't count."""
+    n = len(ids)
     out, last = [], 0
-    for m in marks:
+    for m in marks(ids, mean).tolist() if at is None else at:
         while m - last > most:
             last += most
             out.append(last)
@@ -126,10 +143,6 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return address(len(leaves).to_bytes(8, "little") + level[0])
 
 
-def pack(ids: np.ndarray) -> bytes:
-    return b"\2" + ids.astype("<u2").tobytes() if len(ids) == 0 or ids.max() < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
-
-
 def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype("<u4")
 
@@ -142,6 +155,37 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, _TYPES, strict=True)], [f.split(" ")[0] for f in _POOL.split(", ")])
 
 
+def _chunked(streams: list[tuple], seen: set) -> list[tuple]:
+    """Rows of the pool for some documents' ids; chunks that the task has sent already (in ``seen``) aren't sent again."""
+    ids = np.frombuffer(b"".join([s for _, s in streams]), "<u4")
+    ends = np.cumsum([len(s) // 4 for _, s in streams])
+    at = marks(ids)
+    first = np.searchsorted(at, ends - [len(s) // 4 for _, s in streams], "right")
+    last = np.searchsorted(at, ends, "right")
+    rows: list[tuple] = []
+    start = 0
+    for k, (doc_id, _) in enumerate(streams):
+        own = ids[start : ends[k]]
+        cuts = cut_points(own, at=(at[first[k] : last[k]] - start).tolist())
+        start = int(ends[k])
+        narrow = int(own.max()) < 1 << 16
+        data = own.astype("<u2").tobytes() if narrow else own.tobytes()
+        head, wide = (b"\2", 2) if narrow else (b"\4", 4)
+        leaves, begin = [], 0
+        for stop in cuts:
+            chunk = head + data[wide * begin : wide * stop]
+            begin = stop
+            key = address(chunk)
+            leaves.append(key)
+            if key not in seen:
+                if len(seen) < 500_000:
+                    seen.add(key)
+                rows.append(("chunk", key, None, None, None, None, None, chunk))
+        root = merkle_root(leaves)
+        rows.append(("recipe", address(repr(doc_id).encode() + root), doc_id, len(own), b"".join(leaves), np.diff(cuts, prepend=0).astype("<u4").tobytes(), root, None))
+    return rows
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Write the store of all texts to the folder ``path``."""
     spark = docs.sparkSession
@@ -149,28 +193,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = loaded(tokenizer), set()
         end = np.array([end_id], "<u4").tobytes()
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encoder.encode(text.as_py() or "") + end, "<u4")
-                leaves, lengths, last = [], [], 0
-                for stop in cut_points(ids):
-                    data = pack(ids[last:stop])
-                    leaves.append(address(data))
-                    lengths.append(stop - last)
-                    last = stop
-                    if leaves[-1] not in seen:  # what this task has sent already isn't sent again
-                        if len(seen) < 500_000:
-                            seen.add(leaves[-1])
-                        rows.append(("chunk", leaves[-1], None, None, None, None, None, data))
-                        held += len(data)
-                root = merkle_root(leaves)
-                rows.append(("recipe", address(repr(doc_id).encode() + root), doc_id, len(ids), b"".join(leaves), np.array(lengths, "<u4").tobytes(), root, None))
-                if held > 4 << 20:
-                    yield _rows(rows)
-                    rows, held = [], 0
-            yield _rows(rows)
+                held.append((doc_id, encoder.encode(text.as_py() or "") + end))
+                size += len(held[-1][1])
+                if size > 1 << 20:
+                    yield _rows(_chunked(held, seen))
+                    held, size = [], 0
+        yield _rows(_chunked(held, seen))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
