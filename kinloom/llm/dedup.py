@@ -8,8 +8,13 @@ similarity, 1 / sum_j max(x_j / x_i, y_j / y_i) summed over shared shingles i. R
 that share a band are candidates, and their similarity is then computed exactly.
 
 Texts with the same words in the same order are folded into one class first. In a band's bucket every class is
-compared with one leader, then, where the bucket isn't yet one component, with another leader, and pairs still
-apart after that are all compared; links between different texts are therefore all checked that the bands propose.
+compared with one leader, the member that shares most buckets with others, which is the original where the rest are
+its edited copies. Where a bucket isn't one component after that, a bucket of at most SMALL classes compares all pairs
+that are still apart; a larger one compares each class outside the component of a leader drawn anew with that leader,
+round after round, as long as rounds merge anything and ROUNDS at most, so the number of pairs grows with the rows.
+
+Weights are damped, 1 + ln(n) / 4 for a shingle that occurs n times, so that one line repeated many times doesn't make
+texts alike that share nothing else.
 
 Defined cases: a null text is an empty one; texts without words form one class; texts of fewer than five words are
 one shingle; repeated rows share a class; an empty table gives an empty result; a row without a doc_id is only held
@@ -34,6 +39,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
+SMALL = 16
+ROUNDS = 4
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -41,13 +48,13 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 
 def weighted_sets(run: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (owner, shingle) in order, with the number of times that each occurs."""
+    """Distinct (owner, shingle) in order, with the weight of each."""
     order = np.lexsort((run, owner))
     run, owner = run[order], owner[order]
     first = np.ones(len(run), bool)
     first[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(first)
-    return owner[at], run[at], np.diff(np.append(at, len(run)))
+    return owner[at], run[at], 1 + np.log(np.diff(np.append(at, len(run)))) / 4
 
 
 def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -150,8 +157,9 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, shi
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cid, label) for each end of an edge (a, b). Every round merges each vertex into the neighbour that comes
-    first in an order drawn anew for the round; rounds grow with the logarithm of the largest component."""
+    """(cid, label) for each end of an edge (a, b). Every round merges each vertex into that neighbour that has the most
+    neighbours, ties broken by an order drawn anew for the round, unless it has more itself; so a star goes at once,
+    and rounds grow with the logarithm of the largest component at most."""
     levels: list[DataFrame] = []
     now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     step = 0
@@ -160,10 +168,11 @@ def components(edges: DataFrame) -> DataFrame:
         if now.isEmpty():
             break
         step += 1
-        rank = lambda c: F.struct(F.xxhash64(F.lit(step), c).alias("h"), c.alias("id"))  # noqa: B023, E731
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        to = both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min(rank(F.col("b"))), F.first(rank(F.col("a"))))["id"].alias("label"))
-        to = staged(to, "cc-label")
+        rank = both.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("n")).select("v", F.struct("n", F.xxhash64(F.lit(step), "v").alias("h"), F.col("v").alias("id")).alias("rank"))
+        rank = staged(rank, "cc-rank")
+        best = both.join(rank.select(F.col("v").alias("b"), "rank"), "b").groupBy(F.col("a").alias("v")).agg(F.max("rank").alias("best"))
+        to = staged(rank.join(best, "v").select(F.col("v").alias("cid"), F.greatest("rank", "best")["id"].alias("label")), "cc-label")
         levels.append(to)
         ends = now.join(to.select(F.col("cid").alias("a"), F.col("label").alias("x")), "a").join(to.select(F.col("cid").alias("b"), F.col("label").alias("y")), "b")
         now = ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -171,42 +180,61 @@ def components(edges: DataFrame) -> DataFrame:
         return now.select(F.col("a").alias("cid"), F.col("b").alias("label"))
     out = levels[0]
     for nxt in levels[1:]:
-        out = out.join(nxt.select(F.col("cid").alias("label"), F.col("label").alias("further")), "label", "left").select("cid", F.coalesce("further", "label").alias("label"))
+        out = relabelled(out, nxt)
     return out
 
 
+def relabelled(label: DataFrame, further: DataFrame) -> DataFrame:
+    """``label`` with its labels sent on by ``further``."""
+    to = further.select(F.col("cid").alias("label"), F.col("label").alias("further"))
+    return label.join(to, "label", "left").select("cid", F.coalesce("further", "label").alias("label"))
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """One row for each document: doc_id, class_id (the least doc_id of its class), n_links (verified links of its
     text to different texts)."""
     drawn = staged(sketch(docs, bands, rows, shingle), "sketch")
     distinct = staged(drawn.groupBy("k1", "k2").agg(F.coalesce(F.min("doc_id"), F.col("k1")).alias("cid"), F.first("bands").alias("bands")), "distinct")
-    key = F.explode("bands").alias("key")
-    bucket = distinct.select(key, "cid")
-    shared = bucket.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead <> last")
-    member = staged(bucket.join(shared.select("key", "lead"), "key"), "member")
-    wanted = member.select("cid").distinct()
+    bucket = distinct.select(F.explode("bands").alias("key"), "cid")
+    shared = bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    member = staged(bucket.join(shared, "key"), "member")
+    weight = member.groupBy("cid").agg(F.sum("n").alias("weight"))
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = staged(texts.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "texts")
+    texts = staged(texts.join(weight.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
 
-    tried = staged(member.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    lead = member.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", F.col("cid").alias("lead")))["lead"].alias("lead"))
+    tried = staged(_ordered(member.join(lead, "key"), "cid", "lead"), "pairs")
     links = staged(verify(tried, texts, threshold, shingle), "links")
-    for again in (1, 2):
-        label = components(links)
-        held = member.join(label, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-        split = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(again), "cid").alias("h"), F.col("cid"), F.col("label"))).alias("lead")).where("lo <> hi")
-        held = held.join(split.select("key", F.col("lead.cid").alias("lead"), F.col("lead.label").alias("lead_label")), "key")
-        if again == 1:
-            pairs = held.where("label <> lead_label").select("cid", F.col("lead").alias("other"))
-        else:
-            left, right = held.select("key", "cid", "label"), held.select("key", F.col("cid").alias("other"), F.col("label").alias("label2"))
-            pairs = left.join(right, "key").where("label < label2").select("cid", "other")
-        pairs = pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
+    label = staged(components(links), "label")
+    for step in range(ROUNDS):
+        held = member.join(label, "cid", "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
+        drawn_lead = F.min(F.struct(F.xxhash64(F.lit(step), "cid").alias("h"), F.col("cid"), F.col("label")))
+        split = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), drawn_lead.alias("lead")).where("lo <> hi")
+        held = staged(held.join(split.select("key", F.col("lead.cid").alias("lead"), F.col("lead.label").alias("lead_label")), "key"), "held")
+        pairs = _ordered(held.where(F.col("n") > SMALL).where("label <> lead_label"), "cid", "lead")
+        if not step:
+            few = held.where(F.col("n") <= SMALL)
+            other = few.select("key", F.col("cid").alias("other"), F.col("label").alias("label2"))
+            pairs = pairs.union(_ordered(few.join(other, "key").where("label < label2"), "cid", "other")).distinct()
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
-        links = staged(links.union(verify(pairs, texts, threshold, shingle)), "links")
+        new = staged(verify(pairs, texts, threshold, shingle), "links")
         tried = staged(tried.union(pairs), "pairs")
-    label = components(links)
+        if new.isEmpty():
+            if step:
+                break
+            continue
+        links = staged(links.union(new), "links")
+        # new links join labels, or texts without one
+        all_ids = label.unionByName(new.select(F.col("a").alias("cid")).union(new.select("b")).distinct().join(label, "cid", "left_anti").select("cid", F.col("cid").alias("label")))
+        of = lambda c: all_ids.select(F.col("cid").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
+        merged = components(new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+        label = staged(relabelled(all_ids, merged), "label")
     ends = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
     label = distinct.select("k1", "k2", "cid").join(label, "cid", "left").join(ends, "cid", "left").select("k1", "k2", "cid", F.coalesce("label", "cid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     label = staged(label, "labels")
@@ -218,10 +246,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """The documents that have the least doc_id of their class, one row each."""
-    firsts = classes(docs, **how).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(firsts, "doc_id", "left_semi") if _repeated(docs) else docs.join(firsts, "doc_id", "left_semi")
+    """The documents that have the least doc_id of their class, one row each; rows without a doc_id stay."""
+    firsts = classes(docs, **how).where("doc_id = class_id").select(F.col("doc_id").alias("id__")).distinct()
+    firsts = firsts.union(docs.sparkSession.createDataFrame([(None,)], "id__ long"))
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")) if _repeated(docs) else docs
+    return once.join(firsts, F.col("doc_id").eqNullSafe(F.col("id__")), "left_semi")
 
 
 def _repeated(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()

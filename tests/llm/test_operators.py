@@ -114,7 +114,7 @@ def test_dedup_edges(odd, empty):
     assert by[8] == by[9] == 8 and by[0] == by[1] == by[2] == by[10] == 0 and by[7] == 7
     assert dedup.classes(empty).collect() == []
     kept = dedup.deduplicate(odd)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {0, 3, 4, 5, 6, 7, 8, 11, 12, 13, 14}
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 0, 3, 4, 5, 6, 7, 8, 11, 12, 13, 14}
 
 
 # decontamination
