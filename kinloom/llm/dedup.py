@@ -11,7 +11,14 @@ Texts with the same words in the same order are folded into one class first. In
 compared with one leader, the member that shares most buckets with others, which is the original where the rest are
 its edited copies. Where a bucket isn't one component after that, a bucket of at most SMALL classes compares all pairs
 that are still apart; a larger one compares each class outside the component of a leader drawn anew with that leader,
-round after round, as long as rounds merge anything and ROUNDS at most, so the number of pairs grows with the rows.
+round after round, as long as rounds merge anything and ROUNDS at most. These rounds only save work: members of large
+buckets that stay split are then joined exactly, so that no pair above the threshold is left between two components.
+
+That join rests on two bounds. The similarity is the probability of a coupling of both normalised weightings, so it is
+at most sum_i min(x_i / |x|, y_i / |y|). With shingles in one order for all texts, rarest first, two texts can then only
+reach the threshold if they share a shingle among those before which at most 1 - threshold of the weight stands (prefix
+filter). And 1 / sum_j max(x_j / a, y_j / b) is concave and homogeneous in a and b, so the similarity of outlines, the
+sums of weights over cells of shingles, is never less than that of the texts. Pairs that pass both are verified.
 
 Weights are damped, 1 + ln(n) / 4 for a shingle that occurs n times, so that one line repeated many times doesn't make
 texts alike that share nothing else.
@@ -28,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm import text as tx
@@ -41,6 +48,9 @@ BANDS = 24
 ROWS = 4
 SMALL = 16
 ROUNDS = 4
+#: Cells of an outline, and texts of one shingle that are compared in one piece.
+CELLS = 256
+BLOCK = 512
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -194,6 +204,133 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def merged(label: DataFrame, new: DataFrame) -> DataFrame:
+    """``label`` (cid, label) with the labels joined, and texts without one given theirs, that links (a, b) connect."""
+    fresh = new.select(F.col("a").alias("cid")).union(new.select("b")).distinct().join(label, "cid", "left_anti")
+    all_ids = label.unionByName(fresh.select("cid", F.col("cid").alias("label")))
+    of = lambda c: all_ids.select(F.col("cid").alias(c), F.col("label").alias(f"{c}_label"))
+    further = components(new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    return staged(relabelled(all_ids, further), "label")
+
+
+def shares(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """cid, token, share: every different shingle of a text and its part of the text's weight. ``texts``: cid, text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.slices(batch):
+                owner, run, share = _shares(part.column(1), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column(0))[owner]), pa.array(run.view(np.int64)), pa.array(share)], ["cid", "token", "share"])
+
+    return texts.select("cid", "text").mapInArrow(of, "cid long, token long, share double")
+
+
+def _shares(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw, at = tx.as_bytes(column)
+    starts, ends, bounds = tx.words(raw, at)
+    run, owner = tx.shingle_hashes(tx.word_hashes(raw, starts, ends), bounds, shingle)
+    owner, run, weight = weighted_sets(run, owner)
+    return owner, run, weight / np.bincount(owner, weight, len(column))[owner]
+
+
+def outlines(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """cid, label, outline: the shares of a text's shingles summed in CELLS cells. ``texts``: cid, label, text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.slices(batch):
+                owner, run, share = _shares(part.column(2), shingle)
+                cell = (tx.mix(run) % U(CELLS)).astype(np.int64)
+                sums = np.bincount(owner * CELLS + cell, share, part.num_rows * CELLS)
+                full = sums.astype("<f4").reshape(-1, CELLS)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([row.tobytes() for row in full], pa.binary())], ["cid", "label", "outline"])
+
+    return texts.select("cid", "label", "text").mapInArrow(of, "cid long, label long, outline binary")
+
+
+def row_similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The probability Jaccard similarity of each row of ``x`` with that of ``y``."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(y > 0, x / y, np.inf)
+        order = np.argsort(ratio, axis=1)
+        p, q, ratio = (np.take_along_axis(m, order, 1).astype(float) for m in (x, y, ratio))
+        least = np.cumsum(p[:, ::-1], axis=1)[:, ::-1] + np.where(q > 0, ratio, 0) * (np.cumsum(q, axis=1) - q)
+        return np.where((p > 0) & (q > 0), p / least, 0).sum(axis=1)
+
+
+def _near(label: np.ndarray, block: np.ndarray, lo: int, hi: int, outline: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows of one cell that are apart and whose outlines allow the threshold."""
+    xs, ys = [], []
+    for k in range(len(label) - 1):
+        other = np.arange(k + 1, len(label))
+        other = other[(label[other] != label[k]) & (np.minimum(block[other], block[k]) == lo) & (np.maximum(block[other], block[k]) == hi)]
+        if len(other):
+            other = other[np.minimum(outline[other], outline[k]).sum(axis=1) >= least]
+            xs.append(np.full(len(other), k))
+            ys.append(other)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(xs or none), np.concatenate(ys or none)
+
+
+def apart(texts: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """All pairs (a, b) of different labels that can be ``threshold`` similar, and some that are not. ``texts``: cid,
+    label, text."""
+    held = staged(shares(texts, shingle), "shares")
+    often = held.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = held.join(often, "token", "left").select("cid", "token", "share", F.coalesce("n", F.lit(1)).alias("n"))
+    before = F.sum("share").over(Window.partitionBy("cid").orderBy("n", "token").rowsBetween(Window.unboundedPreceding, -1))
+    prefix = ordered.withColumn("before", F.coalesce(before, F.lit(0.0))).where((F.col("n") > 1) & (F.col("before") <= 1 - threshold + 1e-6))
+    outline = staged(outlines(texts, shingle), "outlines")
+    prefix = staged(prefix.select("token", "cid").join(outline.select("cid", "label"), "cid"), "prefix")
+    mixed = prefix.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi")
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = prefix.join(mixed.select("token", "blocks"), "token").select("token", "cid", block.alias("block"), "blocks")
+    dealt = dealt.select("token", "cid", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    dealt = dealt.select("token", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "cid", "block").join(outline, "cid")
+    dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    least = threshold - 1e-4
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        seen: set[tuple[int, int]] = set()
+
+        def pairs(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            key = np.stack([rows.column(c).to_numpy() for c in ("token", "lo", "hi")])
+            cut = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))), rows.num_rows)
+            cut = cut if last else cut[:-1]  # the last cell may go on in the next batch
+            cid, label, block = (rows.column(c).to_numpy() for c in ("cid", "label", "block"))
+            outline = np.frombuffer(b"".join(rows.column("outline").to_pylist()), "<f4").reshape(-1, CELLS)
+            a, b, at = [], [], []
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                x, y = _near(label[i:j], block[i:j], key[1, i], key[2, i], outline[i:j], least)
+                for u, v in zip((i + x).tolist(), (i + y).tolist(), strict=True):
+                    p, q = cid[u], cid[v]
+                    pair = (p, q) if p < q else (q, p)
+                    if pair not in seen:
+                        if len(seen) >= 1 << 17:  # repeats only cost time
+                            seen.clear()
+                        seen.add(pair)
+                        a.append(pair[0])
+                        b.append(pair[1])
+                        at.append((u, v))
+            u, v = np.array(at, np.int64).reshape(-1, 2).T
+            can = np.zeros(len(at), bool)
+            for k in range(0, len(at), 1024):
+                can[k : k + 1024] = row_similarity(outline[u[k : k + 1024]], outline[v[k : k + 1024]]) >= least
+            hit = pa.array(can)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(hit), pa.array(b, pa.int64()).filter(hit)], ["a", "b"]), rows.slice(cut[-1])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            out, kept = pairs(rows if kept is None else pa.concat_tables([kept, rows]), False)
+            yield out
+        if kept is not None:
+            yield pairs(kept, True)[0]
+
+    found = dealt.select("token", "lo", "hi", "cid", "label", "block", "outline").mapInArrow(of, "a long, b long")
+    return found.distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """One row for each document: doc_id, class_id (the least doc_id of its class), n_links (verified links of its
     text to different texts)."""
@@ -230,11 +367,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
                 break
             continue
         links = staged(links.union(new), "links")
-        # new links join labels, or texts without one
-        all_ids = label.unionByName(new.select(F.col("a").alias("cid")).union(new.select("b")).distinct().join(label, "cid", "left_anti").select("cid", F.col("cid").alias("label")))
-        of = lambda c: all_ids.select(F.col("cid").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
-        merged = components(new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
-        label = staged(relabelled(all_ids, merged), "label")
+        label = merged(label, new)
+    held = member.where(F.col("n") > SMALL).join(label, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
+    held = staged(held, "held")
+    split = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    left_over = staged(held.join(split, "key", "left_semi").select("cid", "label").distinct().join(texts, "cid"), "split")
+    pairs = staged(apart(left_over, threshold, shingle).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        new = staged(verify(pairs, texts, threshold, shingle), "links")
+        if not new.isEmpty():
+            links = staged(links.union(new), "links")
+            label = merged(label, new)
     ends = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
     label = distinct.select("k1", "k2", "cid").join(label, "cid", "left").join(ends, "cid", "left").select("k1", "k2", "cid", F.coalesce("label", "cid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     label = staged(label, "labels")

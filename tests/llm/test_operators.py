@@ -97,6 +97,27 @@ def test_star_of_copies(spark):
     assert got[501] == 501 and {got[k] for k in [*range(120), 500]} == {0}
 
 
+def test_pairs_in_large_buckets_without_hub(spark):
+    """Copies of one text with two words replaced are linked only where both stand at the same two places."""
+    places = [(i, j) for i in range(4, 96) for j in range(i + 5, 96)]
+    chosen = [places[k] for k in np.random.default_rng(1).choice(len(places), 400, replace=False)]
+    rows = [(2 * k + c, " ".join(f"e{k}x{c}x{w}" if w in at else f"t{w}" for w in range(100))) for k, at in enumerate(chosen) for c in (0, 1)]
+    got = {r.doc_id: r.class_id for r in dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(800)}
+
+
+def test_outlines_are_never_less_alike():
+    rng = np.random.default_rng(3)
+    x, y = (np.where(rng.random((200, 64)) < 0.5, 0, rng.integers(1, 4, (200, 64)) / 1.0) for _ in range(2))
+    y = np.where(rng.random((200, 64)) < 0.7, x, y)
+    shares = lambda m: m / m.sum(axis=1, keepdims=True)
+    sets = lambda row: (np.flatnonzero(row), row[row > 0])
+    exact = np.array([dedup.probability_jaccard(*sets(a), *sets(b)) for a, b in zip(x, y, strict=True)])
+    assert np.allclose(dedup.row_similarity(shares(x), shares(y)), exact)
+    merged = lambda m: shares(m).reshape(200, 16, 4).sum(axis=2)
+    assert (dedup.row_similarity(merged(x), merged(y)) >= exact - 1e-9).all()
+
+
 def test_signature_estimates_probability_jaccard():
     run = np.random.default_rng(9).integers(0, 1 << 63, 60, dtype=np.uint64)
     a, b = run[:50], run[10:]
