@@ -332,8 +332,8 @@ def apart(texts: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each document: doc_id, class_id (the least doc_id of its class), n_links (verified links of its
-    text to different texts)."""
+    """One row for each document: doc_id, class_id (the least doc_id of its class), n_checked_links (links of its
+    text to different texts among the pairs that were compared; texts already in one class may stay uncompared)."""
     drawn = staged(sketch(docs, bands, rows, shingle), "sketch")
     distinct = staged(drawn.groupBy("k1", "k2").agg(F.coalesce(F.min("doc_id"), F.col("k1")).alias("cid"), F.first("bands").alias("bands")), "distinct")
     bucket = distinct.select(F.explode("bands").alias("key"), "cid")
@@ -378,14 +378,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         if not new.isEmpty():
             links = staged(links.union(new), "links")
             label = merged(label, new)
-    ends = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
-    label = distinct.select("k1", "k2", "cid").join(label, "cid", "left").join(ends, "cid", "left").select("k1", "k2", "cid", F.coalesce("label", "cid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    ends = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_checked_links"))
+    label = distinct.select("k1", "k2", "cid").join(label, "cid", "left").join(ends, "cid", "left").select("k1", "k2", "cid", F.coalesce("label", "cid").alias("label"), F.coalesce("n_checked_links", F.lit(0)).cast("long").alias("n_checked_links"))
     label = staged(label, "labels")
     least = label.groupBy("label").agg(F.min("cid").alias("class_id"))
-    named = staged(label.join(least, "label").select("k1", "k2", "class_id", "n_links"), "named")
+    named = staged(label.join(least, "label").select("k1", "k2", "class_id", "n_checked_links"), "named")
     for x in (texts, member):
         drop_staged(x)
-    return drawn.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
+    return drawn.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "n_checked_links")
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:

@@ -106,6 +106,10 @@ def test_pairs_in_large_buckets_without_hub(spark):
     assert got == {k: k - k % 2 for k in range(800)}
 
 
+def test_links_are_named_as_checked(empty):
+    assert dedup.classes(empty).columns == ["doc_id", "class_id", "n_checked_links"]
+
+
 def test_outlines_are_never_less_alike():
     rng = np.random.default_rng(3)
     x, y = (np.where(rng.random((200, 64)) < 0.5, 0, rng.integers(1, 4, (200, 64)) / 1.0) for _ in range(2))
