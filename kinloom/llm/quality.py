@@ -6,19 +6,27 @@ different symbols before an n-gram; discounts D1, D2, D3+ come from counts of co
 that were seen, and the back-off weights of all contexts, come from joins of these count tables on n-gram keys, which
 shuffle by key however large they grow.
 
-Documents are scored by joining their n-grams with those tables: inside the tasks where the tables have at most
-``most_rows`` rows, which are then sent to all; else by a shuffle of the different n-grams of each document. Both give
-the same values. A document is kept if its log perplexity per byte lies between a low and a high quantile of that of
-trusted documents of its language, each moved outwards by a margin that is wider for short texts.
+Documents are scored by one sharded join, the same at every size. They are dealt to blocks of about BLOCK_BYTES; the
+different n-grams of a block go, packed, to the shard that holds the two symbols before their last one, and so do the
+rows of the model: all orders from three on of an n-gram and its contexts then lie in one shard. Orders one and two
+have at most 66,000 rows a language and are sent to every task. What a shard finds goes back to the block, whose
+documents are summed from it. Only distinct n-grams of blocks and, once, the texts are moved.
+
+One trusted document of FOLDS (by hashed id) is not counted. A document is kept if its log perplexity per byte is not
+below a low quantile of that of all trusted documents of its language, which are no less likely than unseen ones, and not
+above a high quantile of that of the uncounted ones; each limit is moved outwards by a margin that is wider for short
+texts.
 
 Defined cases: a null or empty text has no perplexity and is rejected; a language without trusted text, null included,
-can't be judged: its documents are kept, without a perplexity; repeated rows give repeated results; labels that repeat
-a document count once; an empty table gives an empty result; without labels everything but empty texts is kept. Only
-doc_id, lang and text are read.
+can't be judged: its documents are kept, without a perplexity; a language whose trusted documents are all counted takes
+both limits from them, and one whose trusted documents are all left out counts as one without; repeated rows give repeated results; labels that repeat a document count once; an empty table
+gives an empty result; without labels everything but empty texts is kept. Only doc_id, lang and text are looked at;
+names that end in two underscores are taken.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +35,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm import text as tx
-from kinloom.llm.store import staged
-
-ORDER = 4
-#: Rows of the model that are sent to every task; a larger model is joined by a shuffle.
-MOST_ROWS = 2_000_000
-#: Trusted documents that are sent to every task to pick their texts; more are joined by a shuffle.
-MOST_TRUSTED = 1_000_000
-LOW, HIGH = 0.01, 0.99
+from kinloom.llm.store import rows_of, staged
+
+ORDER = 5
+#: Bytes of text in a block, whose different n-grams are looked up together.
+BLOCK_BYTES = 8 << 20
+#: One trusted document of so many is left out of the counts, to see what unseen good text is like.
+FOLDS = 5
+LOW, HIGH = 0.01, 0.97
 MARGIN = 0.05
 #: Further margin, divided by the square root of the number of bytes: short texts vary more.
 SLACK = 2.0
 #: Digits of the log perplexity that the quantiles see, so that their state is bounded.
 DIGITS = 3
-_NO = -1
 
 
 def grams(raw: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +88,7 @@ def count(trusted: DataFrame, order: int = ORDER) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], ["lang", "gram", "n"])
 
         for batch in batches:
-            for part in tx.slices(batch, "text"):
+            for part in tx.slices(batch):
                 for lang, _, g, _ in _per_language(part, order):
                     g, n = np.unique(g, return_counts=True)
                     if lang in held:
@@ -151,106 +158,194 @@ def _log_probabilities(tables: dict[tuple[str, int, int], tuple[np.ndarray, np.n
     return out
 
 
-def score(docs: DataFrame, seen: DataFrame, contexts: DataFrame, order: int = ORDER, most_rows: int = MOST_ROWS) -> DataFrame:
-    """doc_id, lang, n_bytes, log_perplexity (null where the language has no model or the text is empty)."""
-    source = _source(docs)
-    if seen.count() + contexts.count() > most_rows:
-        return _score_by_shuffle(source, seen, contexts, order)
-    spark = docs.sparkSession
-    tables: dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for kind, df in enumerate((seen, contexts)):  # bounded by most_rows
-        rows = df.toDF("lang", "k", "key", "value").toArrow().combine_chunks()
-        lang, k, key, value = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        names = np.unique(lang.astype(str)) if len(lang) else []
-        for name in names:
-            for o in range(1, order + 1):
-                own = np.flatnonzero((lang == name) & (k == o))
-                own = own[np.argsort(key[own], kind="stable")]
-                tables[str(name), kind, o] = key[own], value[own]
-    sent = spark.sparkContext.broadcast(tables)
-    known = {lang for lang, _, _ in tables}
+def _pack(grams: np.ndarray) -> bytes:
+    """Sorted integers as deflated differences, byte planes apart."""
+    return zlib.compress(np.diff(grams, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T.copy().view("<i8").reshape(-1))
+
+
+def _shard_of(grams: np.ndarray, lang: int, shards: int) -> np.ndarray:
+    return ((grams >> 8 & 0xFFFF) * 40503 + lang) % shards
+
+
+def _lists(languages: dict[str, int], order: int, shards: int):
+    """Of documents with a block__: the different n-grams of each block, language and shard."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = sent.value
+        held: dict[tuple[int, str], list[np.ndarray]] = {}
+
+        def add(key: tuple[int, str], grams: np.ndarray) -> None:
+            own = held.setdefault(key, [])
+            own.append(np.unique(grams))
+            if len(own) > 1 and sum(map(len, own)) > 1_000_000 + 2 * len(own[0]):
+                held[key] = [np.unique(np.concatenate(own))]
+
         for batch in batches:
             for part in tx.slices(batch):
-                _, at = tx.as_bytes(part.column(2))
-                size = np.diff(at)
+                blocks = part.column(0).to_numpy()
+                for b in np.unique(blocks).tolist():
+                    rows = part.filter(pa.array(blocks == b))
+                    for lang, _, g, _ in _per_language(rows, order):
+                        if lang in languages and len(g):
+                            add((b, lang), g)
+        for (b, lang), own in held.items():
+            g = np.unique(np.concatenate(own))
+            shard = _shard_of(g, languages[lang], shards)
+            by = np.argsort(shard, kind="stable")
+            g, shard = g[by], shard[by]
+            cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(g))
+            data = [_pack(g[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            n = len(data)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]], pa.int32()), pa.array([b] * n, pa.int32()), pa.array([lang] * n, pa.string()), pa.array(data, pa.binary())], ["shard", "block", "lang", "data"])
+
+    return of
+
+
+def _looked_up(common: dict, order: int):
+    """In each shard: log probabilities of the blocks' n-grams. A shard's model rows come first, sorted by key."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, tables = None, [], None
+        for batch in batches:
+            shard, kind = (batch.column(k).to_numpy() for k in (0, 1))
+            cut = np.append(np.flatnonzero(np.diff(shard.astype(np.int64) * 4 + kind, prepend=-1)), batch.num_rows)
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if shard[i] != now:
+                    now, parts, tables = shard[i], [], None
+                rows = batch.slice(i, j - i)
+                if kind[i] < 2:
+                    parts.append(rows)
+                    continue
+                if tables is None:
+                    tables = common | _tables(parts)
+                    parts = []
+                block, lang, grams, logp = rows.column(6), rows.column(2), rows.column(7), []
+                for name, data in zip(lang.to_pylist(), grams.to_pylist(), strict=True):
+                    value = _log_probabilities(tables, name, _unpack(data), order).astype("<f4")
+                    logp.append(zlib.compress(value.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
+                yield pa.RecordBatch.from_arrays([block, lang, grams, pa.array(logp, pa.binary())], ["block__", "lang", "grams", "logp"])
+
+    return of
+
+
+def _tables(parts: list[pa.RecordBatch]) -> dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray]]:
+    """(language, kind, order) -> sorted keys and their values."""
+    if not parts:
+        return {}
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    kind, k, key, value = (rows.column(c).to_numpy() for c in (1, 3, 4, 5))
+    lang = rows.column(2).to_numpy(zero_copy_only=False)
+    out = {}
+    for name in dict.fromkeys(lang.tolist()):
+        for c in (0, 1):
+            for o in np.unique(k[(lang == name) & (kind == c)]).tolist():
+                own = np.flatnonzero((lang == name) & (kind == c) & (k == o))
+                own = own[np.argsort(key[own], kind="stable")]
+                out[name, c, o] = key[own], value[own]
+    return out
+
+
+def _summed(order: int, names: list[str]):
+    """Of a block's documents and what the shards found: all columns, n_bytes__, log_perplexity__."""
+
+    def of(docs: pa.Table, found: pa.Table) -> pa.Table:
+        tables: dict[str, list] = {}
+        for lang, grams, logp in zip(*(found.column(c).to_pylist() for c in ("lang", "grams", "logp")), strict=True):
+            value = np.frombuffer(zlib.decompress(logp), np.uint8).reshape(4, -1).T.copy().view("<f4").reshape(-1)
+            tables.setdefault(lang, []).append((_unpack(grams), value))
+        known = {}
+        for lang, own in tables.items():
+            g, v = (np.concatenate(x) for x in zip(*own, strict=True))
+            by = np.argsort(g)
+            known[lang] = g[by], v[by].astype(float)
+        sizes, values = [], []
+        for batch in docs.select(["block__", "lang__", "text__"]).rename_columns(["block__", "lang__", "text"]).to_batches():
+            for part in tx.slices(batch):
+                size = np.diff(tx.as_bytes(part.column(2))[1])
                 value = np.full(part.num_rows, np.nan)
                 for lang, rows, g, owner in _per_language(part, order):
                     if lang in known and len(g):
-                        distinct, inverse = np.unique(g, return_inverse=True)
-                        logp = _log_probabilities(tables, lang, distinct, order)[inverse]
-                        total = np.bincount(owner, logp, minlength=len(rows))
+                        keys, logp = known[lang]
+                        total = np.bincount(owner, logp[np.searchsorted(keys, g)], minlength=len(rows))
                         some = size[rows] > 0
                         value[rows[some]] = -total[some] / size[rows][some]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(value, mask=np.isnan(value))], ["doc_id", "lang", "n_bytes", "log_perplexity"])
+                sizes.append(size)
+                values.append(value)
+        size, value = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, values))
+        return pa.Table.from_arrays([*(docs.column(c) for c in names), pa.array(size, pa.int64()), pa.array(value, mask=np.isnan(value))], [*names, "n_bytes__", "log_perplexity__"])
 
-    return source.mapInArrow(of, "doc_id long, lang string, n_bytes long, log_perplexity double")
+    return of
 
 
-def _score_by_shuffle(source: DataFrame, seen: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tx.slices(batch):
-                for lang, rows, g, owner in _per_language(part, order):
-                    pair = np.unique(np.stack([owner, g], 1), axis=0, return_counts=True)
-                    ids = part.column(0).take(pa.array(rows[pair[0][:, 0]]))
-                    keys = pa.array(_text_keys(part.column(2).take(pa.array(rows)))[pair[0][:, 0]])
-                    yield pa.RecordBatch.from_arrays([ids, keys, pa.array([lang] * len(ids), pa.string()), pa.array(pair[0][:, 1]), pa.array(pair[1])], ["doc_id", "text_key", "lang", "gram", "n"])
+def score(docs: DataFrame, seen: DataFrame, contexts: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All columns, n_bytes__ and log_perplexity__ (null where the language has no model or the text is empty)."""
+    spark = docs.sparkSession
+    names = docs.columns
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).collect()[0][0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    languages = {r["lang"]: k for k, r in enumerate(seen.select("lang").distinct().orderBy("lang").collect())}
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    code = F.create_map(*[F.lit(x) for pair in languages.items() for x in pair]) if languages else F.lit(None)
+
+    rows = docs.withColumns({"lang__": F.col("lang").cast("string"), "text__": F.col("text").cast("string")})
+    rows = rows.withColumn("block__", F.pmod(F.xxhash64("doc_id", "text__"), F.lit(blocks)).cast("int")).repartition(max(1, -(-blocks // 3)), "block__")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = f"{fields}, n_bytes__ long, log_perplexity__ double"
+    if not languages:
+        return rows.select(*names, F.octet_length(F.coalesce("text__", F.lit(""))).cast("long").alias("n_bytes__"), F.lit(None).cast("double").alias("log_perplexity__"))
+
+    model = seen.select(F.lit(0).alias("kind"), "lang", "k", F.col("gram").alias("key"), F.col("logp").alias("value"))
+    model = model.union(contexts.select(F.lit(1), "lang", "k", "context", "logb"))
+    common = _tables([b for b in model.where("k <= 2").select(F.lit(0).alias("shard"), "kind", "lang", "k", "key", "value").toArrow().to_batches() if b.num_rows])
+    pair = F.when(F.col("kind") == 0, F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(0xFFFF))
+    model = model.where("k > 2").select(F.pmod(pair * 40503 + F.element_at(code, F.col("lang")), F.lit(shards)).cast("int").alias("shard"), "kind", "lang", "k", "key", "value", F.lit(None).cast("int").alias("block"), F.lit(None).cast("binary").alias("data"))
+    lists = rows.select("block__", F.col("lang__").alias("lang"), F.col("text__").alias("text")).mapInArrow(_lists(languages, order, shards), "shard int, block int, lang string, data binary")
+    lists = lists.select("shard", F.lit(2).alias("kind"), "lang", F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "block", "data")
+    both = model.union(lists).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "lang", "k", "key")
+    found = both.mapInArrow(_looked_up(common, order), "block__ int, lang string, grams binary, logp binary")
+    return rows.groupBy("block__").cogroup(found.groupBy("block__")).applyInArrow(_summed(order, names), schema)
+
+
+def _trusted_ids(labels: DataFrame) -> DataFrame:
+    return staged(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted")
+
+
+def _held_out() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
+
+
+def _counted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, lang, text of the trusted documents that are counted."""
+    return rows_of(_source(docs).where("lang is not null"), staged(ids.where(~_held_out()), "counted"), "doc_id")
+
+
+def _classified(docs: DataFrame, labels: DataFrame, order: int, low: float, high: float, margin: float, block_bytes: int) -> DataFrame:
+    """All columns, then n_bytes__, log_perplexity__, low__, high__, keep__."""
+    ids = _trusted_ids(labels)
+    seen, contexts = model(_counted(docs, ids), order)
+    scored = staged(score(docs, seen, contexts, order, block_bytes), "scored")
+    rounded = F.round("log_perplexity__", DIGITS)
+    known = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("of__"), "log_perplexity__").where("log_perplexity__ is not null")
+    known = rows_of(known, ids, "doc_id")
+    least = F.percentile(rounded, F.lit(low)) - margin
+    most = F.coalesce(F.percentile(F.when(_held_out(), rounded), F.lit(high)), F.percentile(rounded, F.lit(high))) + margin
+    limits = staged(known.groupBy("of__").agg(least.alias("low__"), most.alias("high__")), "limits")
+    out = scored.join(F.broadcast(limits), F.col("lang").cast("string") == F.col("of__"), "left")  # one row a language
+    slack = F.lit(SLACK) / F.sqrt(F.greatest("n_bytes__", F.lit(1)))
+    keep = (F.col("n_bytes__") > 0) & (F.col("log_perplexity__").isNull() | F.col("of__").isNull() | F.col("log_perplexity__").between(F.col("low__") - slack, F.col("high__") + slack))
+    return out.withColumn("keep__", keep).drop("of__")
+
+
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, low: float = LOW, high: float = HIGH, margin: float = MARGIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, lang, n_bytes, log_perplexity, low, high, keep of every row."""
+    source = _source(docs)
+    names = {"n_bytes__": "n_bytes", "log_perplexity__": "log_perplexity", "low__": "low", "high__": "high", "keep__": "keep"}
+    return _classified(source, labels, order, low, high, margin, block_bytes).select("doc_id", "lang", *[F.col(a).alias(b) for a, b in names.items()])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, at = tx.as_bytes(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_text_keys(batch.column(2))), pa.array(np.diff(at))], ["doc_id", "lang", "text_key", "n_bytes"])
 
-    held = staged(source.mapInArrow(of, "doc_id long, text_key long, lang string, gram long, n long"), "held")
-    todo = held.select("lang", "gram").distinct().join(F.broadcast(seen.select("lang").distinct()), "lang", "left_semi")
-    todo = todo.withColumn("sum", F.lit(0.0)).withColumn("done", F.lit(False))
-    for k in range(order, 0, -1):
-        now = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        todo = todo.withColumn("key", now).withColumn("ckey", F.shiftright(now, 8))
-        todo = todo.join(seen.where(F.col("k") == k).select("lang", F.col("gram").alias("key"), "logp"), ["lang", "key"], "left")
-        todo = todo.join(contexts.where(F.col("k") == k).select("lang", F.col("context").alias("ckey"), "logb"), ["lang", "ckey"], "left")
-        add = F.when(F.col("done"), 0.0).otherwise(F.coalesce("logp", "logb", F.lit(0.0)))
-        todo = todo.select("lang", "gram", (F.col("sum") + add).alias("sum"), (F.col("done") | F.col("logp").isNotNull()).alias("done"))
-    logp = todo.select("lang", "gram", (F.col("sum") - F.when(F.col("done"), 0.0).otherwise(float(np.log(256)))).alias("logp"))
-    total = held.join(logp, ["lang", "gram"]).groupBy("doc_id", "text_key", "lang").agg(F.sum(F.col("n") * F.col("logp")).alias("total"), F.sum("n").alias("bytes"))
-    rows = source.mapInArrow(keyed, "doc_id long, lang string, text_key long, n_bytes long")
-    same = rows["doc_id"].eqNullSafe(total["doc_id"]) & (rows["text_key"] == total["text_key"]) & (rows["lang"] == total["lang"])
-    # equal rows are counted together above, so the sum is divided by their bytes together
-    return rows.join(total, same, "left").select(rows["doc_id"], rows["lang"], "n_bytes", (-F.col("total") / F.col("bytes")).alias("log_perplexity"))
-
-
-def _text_keys(column: pa.Array) -> np.ndarray:
-    raw, at = tx.as_bytes(column)
-    starts, ends, bounds = tx.words(raw, at)
-    k1, _ = tx.sequence_keys(tx.word_hashes(raw, starts, ends), bounds)
-    return k1 ^ np.add.reduceat(np.append(raw, 0).astype(np.int64) * (np.arange(len(raw) + 1) % 8191 + 1), at[:-1]) if len(at) > 1 else k1
-
-
-def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, text of the documents that are labelled as good."""
-    ids = staged(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted")
-    small = ids.count() <= MOST_TRUSTED
-    return _source(docs).where("lang is not null").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-
-
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, low: float = LOW, high: float = HIGH, margin: float = MARGIN, most_rows: int = MOST_ROWS) -> DataFrame:
-    """doc_id, lang, n_bytes, log_perplexity, low, high, keep of every row."""
-    seen, contexts = model(trusted_of(docs, labels), order)
-    scored = staged(score(docs, seen, contexts, order, most_rows), "scored")
-    ids = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rounded = F.round("log_perplexity", DIGITS)
-    known = scored.where("log_perplexity is not null").join(ids, "doc_id", "left_semi")
-    limits = known.groupBy(F.col("lang").alias("of")).agg((F.percentile(rounded, F.lit(low)) - margin).alias("low"), (F.percentile(rounded, F.lit(high)) + margin).alias("high"))
-    out = scored.join(F.broadcast(staged(limits, "limits")), F.col("lang") == F.col("of"), "left")
-    slack = F.lit(SLACK) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
-    keep = (F.col("n_bytes") > 0) & (F.col("log_perplexity").isNull() | F.col("of").isNull() | F.col("log_perplexity").between(F.col("low") - slack, F.col("high") + slack))
-    return out.select("doc_id", "lang", "n_bytes", "log_perplexity", "low", "high", keep.alias("keep"))
-
-
-def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, order: int = ORDER, low: float = LOW, high: float = HIGH, margin: float = MARGIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    rejected = classify(docs, labels, **how).where("not keep").select(F.col("doc_id").alias("id__")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("id__")), "left_anti")
+    return _classified(docs, labels, order, low, high, margin, block_bytes).where("keep__").select(*docs.columns)

@@ -69,7 +69,7 @@ def _words_sql(text: str) -> str:
 
 
 def op3_sql() -> str:
-    """Base phrases by word number, and every line held against every template."""
+    """Base phrases by word number, and every block held against every template."""
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     places = ", ".join("list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) + f") AS p{n}" for n, phrase in enumerate(licenses.BASE.values()))
     templates = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))})" for label, ts in licenses.TEMPLATES.items() for t in ts)
@@ -79,9 +79,8 @@ def op3_sql() -> str:
   b0 AS (SELECT doc_id, {_words_sql('text')} AS w FROM d),
   b1 AS (SELECT doc_id, len(w) AS n_words, {places} FROM b0),
   b AS (SELECT doc_id, n_words, {every} AS places, {base} AS base FROM b1),
-  l0 AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d),
-  l1 AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS block FROM l0),
-  l AS (SELECT doc_id, block, list_distinct({_words_sql('line')}) AS own FROM l1),
+  l0 AS (SELECT doc_id, w, unnest(range(0, len(w), {licenses.SPAN})) AS k FROM b0),
+  l AS (SELECT doc_id, k // {licenses.SPAN} AS block, list_distinct(w[k + 1:k + {2 * licenses.SPAN}]) AS own FROM l0),
   t(label, own) AS (VALUES {templates}),
   m AS (SELECT doc_id, block, label, len(list_intersect(l.own, t.own)) / len(t.own)::DOUBLE AS containment FROM l, t
     WHERE len(list_intersect(l.own, t.own)) >= {licenses.THRESHOLD} * len(t.own) - 1e-9),
@@ -110,32 +109,34 @@ _PII = {
 
 
 def op7_sql() -> str:
-    spans = lambda name, source: ",\n  ".join(_hits_sql(name, source, p, kind, k, holds) for k, (kind, (p, holds)) in enumerate(_PII.items())) + f",\n  {name} AS (" + " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(len(_PII))) + ")"
-    written = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
-    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PII)
-    zero = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in _PII)
+    kinds = {**_PII, "secret": (pii.SECRET, "true")}
+    spans = lambda name, source: ",\n  ".join(_hits_sql(name, source, p, kind, k, holds) for k, (kind, (p, holds)) in enumerate(kinds.items())) + f",\n  {name} AS (" + " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(len(kinds))) + ")"
+    written = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER ({where}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PII) + ", " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}s" for k in ("secret", "term"))
+    names = [f"n_{k}" for k in _PII] + ["n_secrets", "n_terms"]
+    zero = ", ".join(f"coalesce({n}, 0)::BIGINT AS {n}" for n in names)
+    w = pii.WINDOW
     return f"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
   {spans("s", "d")},
   every AS (SELECT unnest(string_split(text, chr(10))) AS text FROM d),
   lines AS (SELECT text AS id, text, count(*) AS n FROM every GROUP BY text),
   {spans("x", "lines")},
-  held AS (SELECT id, list(struct_pack(start := start, stop := stop)) AS sp, list_distinct(list(kind || ':' || found)) AS entities FROM x GROUP BY id),
-  bare AS (SELECT id, entities, array_to_string(list_transform(range(1, length(id) + 1), lambda i: CASE WHEN len(list_filter(sp, lambda s: s.start < i AND i <= s.stop)) > 0 THEN ' ' ELSE substr(id, i::INT, 1) END), '') AS text FROM held),
-  own AS (SELECT n, entities, list_filter(list_distinct({_words_sql('bare.text')}), lambda w: length(w) > 2) AS terms FROM bare JOIN lines ON lines.id = bare.id),
-  ent AS (SELECT unnest(entities) AS entity, n, terms FROM own),
-  e AS (SELECT entity, sum(n) AS n_e FROM ent GROUP BY entity HAVING count(*) >= {pii.SUPPORT}),
-  pair AS (SELECT entity, term, sum(n) AS n_et FROM (SELECT entity, n, unnest(terms) AS term FROM ent) GROUP BY ALL HAVING count(*) >= {pii.SUPPORT}),
+  held AS (SELECT id, list(struct_pack(start := start, stop := stop, entity := kind || ':' || found)) AS sp FROM x GROUP BY id),
+  bare AS (SELECT id, sp, array_to_string(list_transform(range(1, length(id) + 1), lambda i: CASE WHEN len(list_filter(sp, lambda s: s.start < i AND i <= s.stop)) > 0 THEN ' ' ELSE substr(id, i::INT, 1) END), '') AS m FROM held),
+  ctx AS (SELECT id, m, unnest(sp) AS s FROM bare),
+  beside AS (SELECT id, s.entity AS entity, {_words_sql('substr(m, 1, s.start::INT)')} AS b, {_words_sql('substr(m, s.stop::INT + 1)')} AS a FROM ctx),
+  own AS (SELECT DISTINCT id, entity, unnest(b[greatest(1, len(b) - {w - 1}):len(b)] || a[1:{w}]) AS term FROM beside),
+  e AS (SELECT entity, sum(n) AS n_e FROM (SELECT DISTINCT id, entity FROM beside) q JOIN lines USING (id) GROUP BY entity),
+  pair AS (SELECT entity, term, sum(n) AS n_et FROM own JOIN lines USING (id) GROUP BY ALL),
   t AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct({_words_sql('text')})) AS term FROM every) GROUP BY term),
-  told AS (SELECT entity, term FROM (SELECT pair.entity, pair.term, -log2(n_e / (SELECT count(*) FROM every)::DOUBLE) AS ic, log2(n_et / n_t) AS given FROM pair JOIN e ON e.entity = pair.entity JOIN t ON t.term = pair.term)
-    WHERE ic > 0 AND given + ic >= {pii.SHARE} * ic),
+  told AS (SELECT entity, term FROM pair JOIN t USING (term) JOIN e USING (entity) WHERE n_et * {2.0**pii.SLACK} >= n_t + 1 AND n_e < (SELECT count(*) FROM every)),
   docterm AS (SELECT DISTINCT id, term FROM s JOIN told ON told.entity = s.kind || ':' || s.found),
   chosen AS (SELECT * FROM d WHERE id IN (SELECT id FROM docterm)),
-  {_hits_sql("w", "chosen", licenses.ANY_CASE, "term", 4, "true")},
-  term AS (SELECT w4.* FROM w4 JOIN docterm q ON q.id = w4.id AND q.term = translate(w4.found, '{_UPPER}', '{_LOWER}') WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = w4.id AND s.start < w4.stop AND w4.start < s.stop)),
-  base AS (SELECT id, {counts}, {written} AS spans FROM s GROUP BY id),
-  whole AS (SELECT id, count(*) FILTER (kind = 'term') AS n_terms, {written} AS spans FROM (SELECT * FROM s UNION ALL SELECT * FROM term) GROUP BY id)
-  SELECT d.id AS doc_id, {zero}, sha256(coalesce(base.spans, '')) AS base_sha256, coalesce(whole.spans, '') AS spans, coalesce(n_terms, 0)::BIGINT AS n_terms
-  FROM d LEFT JOIN base ON base.id = d.id LEFT JOIN whole ON whole.id = d.id"""
+  {_hits_sql("w", "chosen", licenses.ANY_CASE, "term", 5, "true")},
+  term AS (SELECT w5.* FROM w5 JOIN docterm q ON q.id = w5.id AND q.term = translate(w5.found, '{_UPPER}', '{_LOWER}') WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = w5.id AND s.start < w5.stop AND w5.start < s.stop)),
+  whole AS (SELECT id, {counts}, {written("rank < 4")} AS base, {written("true")} AS spans FROM (SELECT * FROM s UNION ALL SELECT * FROM term) GROUP BY id)
+  SELECT d.id AS doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  FROM d LEFT JOIN whole ON whole.id = d.id"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,15 +1,16 @@
 """A uniform shuffle into shards of exact size, by a hypergeometric communication matrix.
 
-Rows are dealt by hash to logical partitions of bounded size. The matrix entry (p, s), the number of rows that
+Rows are numbered where they are first written, and dealt by a hash of number and contents to logical partitions of
+bounded size, so many equal rows are dealt like others. The matrix entry (p, s), the number of rows that
 partition p sends to shard s, is drawn row by row from the multivariate hypergeometric law of a uniform permutation,
 so every shard gets exactly its size. Each partition orders its rows at random and deals runs of them to the shards;
 each shard then puts what it got in a random order again, block by block. All randomness comes from the seed and the
-row, so a lost task is made again as it was.
+numbered row, so a lost task is made again as it was, and the same files give the same shards.
 
 Sizes of shards differ by one at most (law ``rows``); equal texts are rows of their own and are not kept together.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; rows that are equal in doc_id, size and checksum
-are told apart by nothing, so which of them has which place doesn't matter; a null doc_id is a value like another; an
+are rows of their own; a null doc_id is a value like another; an
 empty table gives an empty result. Only doc_id and text are read.
 """
 
@@ -85,11 +86,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, part_rows: in
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32")), "rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     n = rows.count()
     per_part = max(part_rows, -(-n // MOST_PARTS))
     parts, blocks = max(1, -(-n // per_part)), max(1, -(-n // (shards * per_part)))
-    own = ("doc_id", "text_crc32", "size")
+    own = ("doc_id", "text_crc32", "size", "row")
     drawn = lambda k: F.xxhash64(F.lit(seed), F.lit(k), *own)
 
     rows = rows.withColumn("part", F.pmod(drawn(1), F.lit(parts)))

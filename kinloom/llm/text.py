@@ -61,9 +61,9 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into row ranges of about ``limit`` bytes of text each."""
-    _, at = as_bytes(batch.column(batch.schema.get_field_index(column)))
+def slices(batch: pa.RecordBatch, *columns: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into row ranges of about ``limit`` bytes of text each, in all ``columns`` together."""
+    at = sum(as_bytes(batch.column(batch.schema.get_field_index(c)))[1] for c in columns or ("text",))
     k = 0
     while k < batch.num_rows:
         stop = max(k + 1, int(np.searchsorted(at, at[k] + limit, "right")) - 1)
