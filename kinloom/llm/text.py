@@ -35,7 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers, from the 0th on, of the odd number and of its inverse."""
     if len(_powers[0]) < n:
         size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
         for k, base in enumerate((_BASE, _INVERSE)):
@@ -89,7 +90,7 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(raw) + 1)
+    up, down = power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_VALUE[raw] * up[: len(raw)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
