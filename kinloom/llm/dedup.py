@@ -23,10 +23,13 @@ sums of weights over cells of shingles, is never less than that of the texts. Pa
 Weights are damped, 1 + ln(n) / 4 for a shingle that occurs n times, so that one line repeated many times doesn't make
 texts alike that share nothing else.
 
+Rows are numbered where their sketches are written, and the number, not doc_id, is what joins and links carry; so
+different texts under one doc_id, and rows without one, are compared like all others.
+
 Defined cases: a null text is an empty one; texts without words form one class; texts of fewer than five words are
-one shingle; repeated rows share a class; an empty table gives an empty result; a row without a doc_id is only held
-against the same words, and a class of such rows alone is named by a hash of them. doc_id is taken as a key: of
-different texts under one id, one is compared. Columns other than doc_id and text are not read.
+one shingle; repeated rows share a class; an empty table gives an empty result; a class of rows without a doc_id alone
+is named by a hash. Of columns other than doc_id and text none is looked at; names that end in two underscores are
+taken.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm import text as tx
-from kinloom.llm.store import drop_staged, staged
+from kinloom.llm.store import drop_staged, rows_of, staged
 
 U = np.uint64
 SHINGLE = 5
@@ -123,12 +126,14 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, two values that identify the words in order, and the band keys."""
+    """All columns, then k1__ and k2__, which identify the words in order, and bands__, the band keys."""
+    source = docs.withColumn("text__", F.col("text").cast("string"))
+    names = [*docs.columns, "k1__", "k2__", "bands__"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.slices(batch):
-                raw, at = tx.as_bytes(part.column(1))
+            for part in tx.slices(batch, "text__"):
+                raw, at = tx.as_bytes(part.column(part.num_columns - 1))
                 starts, ends, bounds = tx.words(raw, at)
                 hashes = tx.word_hashes(raw, starts, ends)
                 k1, k2 = tx.sequence_keys(hashes, bounds)
@@ -137,9 +142,10 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
                 n = part.num_rows
                 keys = band_keys(signatures(owner, run, weight, n, bands * rows), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(k1), pa.array(k2), lists], ["doc_id", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(k1), pa.array(k2), lists], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, k1 long, k2 long, bands array<long>")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return source.mapInArrow(of, f"{fields}, k1__ long, k2__ long, bands__ array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
@@ -148,7 +154,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, shi
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for part in tx.slices(batch, "text_a", tx.SLICE_BYTES // 2):
+            for part in tx.slices(batch, "text_a", "text_b"):
                 sides = []
                 for c in (2, 3):
                     raw, at = tx.as_bytes(part.column(c))
@@ -331,17 +337,20 @@ def apart(texts: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
     return found.distinct()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each document: doc_id, class_id (the least doc_id of its class), n_checked_links (links of its
-    text to different texts among the pairs that were compared; texts already in one class may stay uncompared)."""
-    drawn = staged(sketch(docs, bands, rows, shingle), "sketch")
-    distinct = staged(drawn.groupBy("k1", "k2").agg(F.coalesce(F.min("doc_id"), F.col("k1")).alias("cid"), F.first("bands").alias("bands")), "distinct")
+def _row_classes(docs: DataFrame, threshold: float, bands: int, rows: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their sketches and a number row__ for each, staged; and row__, first (the row that stands for its
+    class), class_id, n_checked_links of every row."""
+    drawn = staged(sketch(docs, bands, rows, shingle).withColumn("row__", F.monotonically_increasing_id()), "sketch")
+    doc_id = F.col("doc_id").cast("long")
+    rank = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("row__").alias("row"))
+    distinct = drawn.groupBy("k1__", "k2__").agg(F.min(rank).alias("rank"), F.first("bands__").alias("bands"))
+    distinct = staged(distinct.select("k1__", "k2__", F.col("rank.row").alias("cid"), "rank", "bands"), "distinct")
     bucket = distinct.select(F.explode("bands").alias("key"), "cid")
     shared = bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = staged(bucket.join(shared, "key"), "member")
-    weight = member.groupBy("cid").agg(F.sum("n").alias("weight"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = staged(texts.join(weight.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
+    weight = staged(member.groupBy("cid").agg(F.sum("n").alias("weight")), "weight")
+    texts = drawn.select(F.col("row__").alias("cid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = staged(rows_of(texts, weight.select("cid"), "cid"), "texts")
 
     lead = member.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", F.col("cid").alias("lead")))["lead"].alias("lead"))
     tried = staged(_ordered(member.join(lead, "key"), "cid", "lead"), "pairs")
@@ -364,37 +373,44 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         tried = staged(tried.union(pairs), "pairs")
         if new.isEmpty():
             if step:
-                break
+                break  # what large buckets still hold apart is joined exactly below
             continue
         links = staged(links.union(new), "links")
         label = merged(label, new)
     held = member.where(F.col("n") > SMALL).join(label, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     held = staged(held, "held")
     split = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    left_over = staged(held.join(split, "key", "left_semi").select("cid", "label").distinct().join(texts, "cid"), "split")
+    split = staged(held.join(split, "key", "left_semi").select("cid", "label").distinct(), "split")
+    left_over = staged(rows_of(texts, split.select("cid"), "cid").join(split, "cid").select("cid", "label", "text"), "split")
     pairs = staged(apart(left_over, threshold, shingle).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         new = staged(verify(pairs, texts, threshold, shingle), "links")
         if not new.isEmpty():
             links = staged(links.union(new), "links")
             label = merged(label, new)
-    ends = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_checked_links"))
-    label = distinct.select("k1", "k2", "cid").join(label, "cid", "left").join(ends, "cid", "left").select("k1", "k2", "cid", F.coalesce("label", "cid").alias("label"), F.coalesce("n_checked_links", F.lit(0)).cast("long").alias("n_checked_links"))
+    ends = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n"))
+    label = distinct.select("k1__", "k2__", "cid", "rank").join(label, "cid", "left").join(ends, "cid", "left")
+    label = label.select("k1__", "k2__", "cid", "rank", F.coalesce("label", "cid").alias("label"), F.coalesce("n", F.lit(0)).cast("long").alias("n_checked_links"))
     label = staged(label, "labels")
-    least = label.groupBy("label").agg(F.min("cid").alias("class_id"))
-    named = staged(label.join(least, "label").select("k1", "k2", "class_id", "n_checked_links"), "named")
-    for x in (texts, member):
+    first = label.groupBy("label").agg(F.min("rank").alias("first"), F.min("k1__").alias("name"))
+    named = label.join(first, "label").select("k1__", "k2__", F.col("first.row").alias("first"), F.coalesce("first.doc_id", "name").alias("class_id"), "n_checked_links")
+    out = drawn.select("row__", "doc_id", "k1__", "k2__").join(named, ["k1__", "k2__"]).select("row__", F.col("doc_id").cast("long").alias("doc_id"), "first", "class_id", "n_checked_links")
+    out = staged(out, "classes")
+    for x in (texts, member, distinct):
         drop_staged(x)
-    return drawn.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "n_checked_links")
+    return drawn, out
 
 
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """The documents that have the least doc_id of their class, one row each; rows without a doc_id stay."""
-    firsts = classes(docs, **how).where("doc_id = class_id").select(F.col("doc_id").alias("id__")).distinct()
-    firsts = firsts.union(docs.sparkSession.createDataFrame([(None,)], "id__ long"))
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")) if _repeated(docs) else docs
-    return once.join(firsts, F.col("doc_id").eqNullSafe(F.col("id__")), "left_semi")
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+    """One row for each document: doc_id, class_id (the least doc_id of its class), n_checked_links (links of its
+    text to different texts among the pairs that were compared; texts already in one class may stay uncompared)."""
+    drawn, out = _row_classes(docs.select("doc_id", "text"), threshold, bands, rows, shingle)
+    drop_staged(drawn)
+    return out.select("doc_id", "class_id", "n_checked_links")
 
 
-def _repeated(docs: DataFrame) -> bool:
-    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each class with all its columns: that of least doc_id, null last; any one of rows equal in that."""
+    drawn, out = _row_classes(docs, threshold, bands, rows, shingle)
+    gone = staged(out.where("row__ <> first").select("row__"), "copies")
+    return rows_of(drawn, gone, "row__", "left_anti").select(*docs.columns)
