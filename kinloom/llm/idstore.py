@@ -287,7 +287,10 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype("<u4")
+    """The ids of a chunk; none of bytes that aren't one."""
+    wide = 2 if data[:1] == b"\2" else 4
+    whole = len(data) > 1 and len(data) % wide == 1
+    return np.frombuffer(data, f"<u{wide}", offset=1).astype("<u4") if whole else np.zeros(0, "<u4")
 
 
 _POOL = "kind string, address binary, doc_id long, n_tokens long, addresses binary, lengths binary, root binary, data binary"
@@ -318,7 +321,7 @@ def _chunked(doc_ids: list, ids: np.ndarray, ends: np.ndarray, seen: set) -> pa.
                 keys.append(key)
                 chunks.append(chunk)
         root = merkle_root(leaves)
-        recipes.append((address(repr(doc_id).encode() + root), doc_id, end - start, b"".join(leaves), np.diff(cuts, prepend=0).astype("<u4").tobytes(), root))
+        recipes.append((address(repr(doc_id).encode() + root), doc_id, end - start, b"".join(leaves), array("I", map(int.__sub__, cuts, [0, *cuts])).tobytes(), root))
     n, m = len(keys), len(recipes)
     own = [list(c) for c in zip(*recipes, strict=True)] if m else [[]] * 6
     columns = [["chunk"] * n + ["recipe"] * m, keys + own[0], *([None] * n + c for c in own[1:]), chunks + [None] * m]
@@ -350,7 +353,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
             yield batch.filter(pc.or_(keep, recipe))
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pool = source.mapInArrow(encode, _POOL).repartition("address").sortWithinPartitions("kind", "address")
+    pool = source.mapInArrow(encode, _POOL).repartition("address").sortWithinPartitions("address")
     pool.mapInArrow(once, _POOL).write.option("compression", "zstd").parquet(f"{path}/pool")
     _write_index(spark, path)
 
@@ -493,13 +496,17 @@ def crcs_joined(crc: np.ndarray, size: np.ndarray, ends: np.ndarray) -> np.ndarr
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of chunks: address as stored, as recomputed from the bytes, checksum and number of the ids."""
     for batch in batches:
-        now, crc, n = [], [], []
-        for data in batch.column(1).to_pylist():
-            ids = unpack(data)
-            now.append(address(data))
-            crc.append(zlib.crc32(ids.tobytes()))
-            n.append(len(ids))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(now, pa.binary()), pa.array(crc, pa.int64()), pa.array(n, pa.int64())], ["address", "recomputed", "crc", "n"])
+        data = batch.column(1).to_pylist()
+        now = [address(d) for d in data]
+        if all(d[:1] == b"\2" and len(d) % 2 for d in data):
+            n = np.array([len(d) // 2 for d in data], np.int64)
+            ids = memoryview(np.frombuffer(b"".join([d[1:] for d in data]), "<u2").astype("<u4").tobytes())
+            ends = (4 * np.cumsum(n)).tolist()
+            crc = [zlib.crc32(ids[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+        else:
+            whole = [unpack(d) for d in data]
+            n, crc = np.array([len(w) for w in whole], np.int64), [zlib.crc32(w.tobytes()) for w in whole]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(now, pa.binary()), pa.array(crc, pa.int64()), pa.array(n)], ["address", "recomputed", "crc", "n"])
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
