@@ -102,17 +102,27 @@ def kinship(d: dict[int, Column]) -> Column:
 
 
 def binomial_p(n1: Column, n2: Column) -> Column:
-    """1 - F(max) + F(min) of a fair coin, by exact sums; 1 without data or where both are equal to n."""
-    n = n1 + n2
-    lo, hi = F.least(n1, n2), F.greatest(n1, n2)
-    seen = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
-
-    def step(acc: Column, k: Column) -> Column:
-        c = F.when(k == 0, F.lit(1.0)).otherwise(acc["c"] * (n - k + 1) / F.greatest(k, F.lit(1)))
-        return F.struct(c.alias("c"), (acc["low"] + F.when(k <= lo, c).otherwise(0.0)).alias("low"), (acc["high"] + F.when(k <= hi, c).otherwise(0.0)).alias("high"))
-
-    total = F.aggregate(F.sequence(F.lit(0).cast("long"), n.cast("long")), seen, step)
-    return F.when(n == 0, 1.0).otherwise(1 - total["high"] * F.pow(F.lit(0.5), n) + total["low"] * F.pow(F.lit(0.5), n))
+    """1 - F(max) + F(min) of a fair coin, 1 without data: what lies outside min < k <= max. The probabilities are walked
+    from the middle outwards by their ratios, which underflow only where they no longer matter, and divided by their
+    sum."""
+    n = (n1 + n2).cast("long")
+    lo, hi = F.least(n1, n2).cast("long"), F.greatest(n1, n2).cast("long")
+    middle = F.floor(n / 2)
+    seen = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("inside"), F.lit(0.0).alias("all"))
+
+    def walk(start: Column, stop: Column, step: int, ratio) -> Column:
+        def add(acc: Column, k: Column) -> Column:
+            p = acc["p"] * ratio(k)
+            inside = (k > lo) & (k <= hi)
+            return F.struct(p.alias("p"), (acc["inside"] + F.when(inside, p).otherwise(0.0)).alias("inside"), (acc["all"] + p).alias("all"))
+
+        places = F.when(start <= stop if step > 0 else start >= stop, F.sequence(start, stop, F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(places, seen, add)
+
+    up = walk(middle + 1, n, 1, lambda k: (n - k + 1) / k)
+    down = walk(middle - 1, F.lit(0).cast("long"), -1, lambda k: (k + 1) / (n - k))
+    centre = F.when((middle > lo) & (middle <= hi), 1.0).otherwise(0.0)
+    return F.when(n == 0, 1.0).otherwise(1 - (up["inside"] + down["inside"] + centre) / (up["all"] + down["all"] + 1.0))
 
 
 def signed_unit(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions import recode as rc
+from kinloom.operators import stats
 
 
 def from_homozygous(calls: DataFrame) -> DataFrame:
@@ -15,17 +16,32 @@ def from_homozygous(calls: DataFrame) -> DataFrame:
     return calls.select("*", h.alias("h0"), h.alias("h1"))
 
 
-def from_parents(phased: DataFrame, persons: DataFrame) -> DataFrame:
+def from_parents(phased: DataFrame, kinds: DataFrame) -> DataFrame:
     """A homozygous father fixes the first haplotype of a child, then a homozygous mother the second; the other one
-    follows from the child's genotype. Alleles that the child's genotype doesn't have are left out."""
-    kids = persons.select(F.col("id").alias("smp"), "father", "mother")
-    side = lambda p: phased.select(F.col("smp").alias(p), "snp", F.when(F.col("h0") == F.col("h1"), F.col("h0")).alias(f"{p}_v"))
-    j = phased.join(kids, "smp", "left").join(side("father"), ["father", "snp"], "left").join(side("mother"), ["mother", "snp"], "left")
+    follows from the child's genotype. Alleles that the child's genotype doesn't have are left out. ``phased``: snp, smp,
+    a0, a1, h0, h1; ``kinds``: smp, father_smp, mother_smp (null: none). A row for each kind of trio and SNP."""
+    rows = stats.by_snp(phased, "a0", "a1", "h0", "h1").select("snp", "at", F.explode("at").alias("smp", "own")).join(kinds, "smp")
+    side = lambda p: F.try_element_at("at", F.col(f"{p}_smp"))
+    same = lambda p: F.when(side(p)["h0"] == side(p)["h1"], side(p)["h0"]).alias(f"{p}_v")
+    j = rows.select("snp", "smp", "father_smp", "mother_smp", "own.*", same("father"), same("mother"))
     g0, g1 = F.col("a0"), F.col("a1")
     take = lambda h, v: F.when((F.col(h) == 0) & ((F.col(v) == g0) | (F.col(v) == g1)) & (F.col(v) != 0), F.col(v)).otherwise(F.col(h))
     j = j.withColumn("h0", take("h0", "father_v")).withColumn("h1", rc.complete_haplotype(F.col("h1"), F.col("h0"), g0, g1))
     j = j.withColumn("h1", take("h1", "mother_v")).withColumn("h0", rc.complete_haplotype(F.col("h0"), F.col("h1"), g0, g1))
-    return j.select(*phased.columns)
+    return j.drop("father_v", "mother_v")
+
+
+def trio_errors(calls: DataFrame, kinds: DataFrame) -> DataFrame:
+    """snp, smp of children whose genotype their parents can't have given: heterozygous of equal homozygous parents, or
+    homozygous against a homozygous parent."""
+    rows = stats.by_snp(calls, "a0", "a1").select("snp", "at", F.explode("at").alias("smp", "own")).join(kinds, "smp")
+    side = lambda p: F.try_element_at("at", F.col(f"{p}_smp"))
+    hom = lambda c: rc.homozygous(c["a0"], c["a1"])
+    own = F.col("own")
+    het = hom(side("father")) & hom(side("mother")) & (side("father")["a0"] == side("mother")["a0"]) & rc.heterozygous(own["a0"], own["a1"])
+    against = [hom(side(p)) & hom(own) & (side(p)["a0"] != own["a0"]) for p in ("father", "mother")]
+    bad = F.coalesce(het, F.lit(False)) | F.coalesce(against[0], F.lit(False)) | F.coalesce(against[1], F.lit(False))
+    return rows.where(bad).select("snp", "smp").distinct()
 
 
 def clear_errors(phased: DataFrame, errors: DataFrame) -> DataFrame:
@@ -34,6 +50,6 @@ def clear_errors(phased: DataFrame, errors: DataFrame) -> DataFrame:
     return marked.select(*[F.when(F.col("bad__"), F.lit(0)).otherwise(F.col(c)).alias(c) if c in ("a0", "a1", "h0", "h1") else F.col(c) for c in phased.columns])
 
 
-def fill_rates(phased: DataFrame, by: str) -> DataFrame:
+def fill_rates(phased: DataFrame, *by: str) -> DataFrame:
     filled = (F.col("h0") != 0).cast("int") + (F.col("h1") != 0).cast("int")
-    return phased.groupBy(by).agg(F.sum(filled).alias("filled"), (2 * F.count("*")).alias("total"))
+    return phased.groupBy(*by).agg(F.sum(filled).alias("filled"), (2 * F.count("*")).alias("total"))

@@ -53,16 +53,34 @@ def symmetric(segments: DataFrame) -> DataFrame:
     return one.union(segments.select("s1", "a1", "s0", "a0", "snp_start", "snp_stop"))
 
 
+def by_snp(calls: DataFrame, *columns: str) -> DataFrame:
+    """One row a SNP: snp, at, a map from sample to a struct of the columns. Relatives are then looked up in place."""
+    return calls.groupBy("snp").agg(F.map_from_entries(F.collect_list(F.struct("smp", F.struct(*columns)))).alias("at"))
+
+
+def trio_kinds(kids: DataFrame) -> DataFrame:
+    """The different (smp, father_smp, mother_smp) of some children: what follows from samples is computed once each."""
+    return kids.select("smp", "father_smp", "mother_smp").distinct()
+
+
+def with_samples(persons: DataFrame, samples: DataFrame) -> DataFrame:
+    """persons with smp, father_smp and mother_smp (null: none) from samples: id, smp. A father or mother of 0 is none."""
+    side = lambda p: samples.where("id <> 0").select(F.col("id").alias(p), F.col("smp").alias(f"{p}_smp"))
+    return persons.join(samples, "id", "left").join(side("father"), "father", "left").join(side("mother"), "mother", "left")
+
+
 def mendel_errors(persons: DataFrame, calls: DataFrame) -> DataFrame:
-    """Inconsistent trios: a heterozygous child of equal homozygous parents, or one homozygous against a parent."""
-    own = persons.select("id", (F.col("id") % 64).alias("smp")).join(calls, "smp")
-    side = lambda p: own.select(F.col("id").alias(p), "snp", F.col("a0").alias(f"{p}0"), F.col("a1").alias(f"{p}1"))
-    kids = persons.where("father <> 0 and mother <> 0").select("id", "father", "mother")
-    j = kids.join(side("id"), "id").join(side("father"), ["father", "snp"]).join(side("mother"), ["mother", "snp"])
-    hom = lambda p: rc.homozygous(F.col(f"{p}0"), F.col(f"{p}1"))
-    het = hom("father") & hom("mother") & (F.col("father0") == F.col("mother0")) & rc.heterozygous(F.col("id0"), F.col("id1"))
-    against = lambda p: hom(p) & hom("id") & (F.col(f"{p}0") != F.col("id0"))
-    return j.groupBy("id").agg(F.count_if(het).alias("het_of_equal_homs"), F.count_if(against("father")).alias("opposite_father"), F.count_if(against("mother")).alias("opposite_mother"))
+    """Inconsistent trios: a heterozygous child of equal homozygous parents, or one homozygous against a parent.
+    ``persons``: id, smp, father_smp, mother_smp. Genotypes are read once, a row for each SNP."""
+    kids = persons.where("smp is not null and father_smp is not null and mother_smp is not null")
+    rows = by_snp(calls, "a0", "a1").select("at", F.explode(F.map_keys("at")).alias("smp")).join(trio_kinds(kids), "smp")
+    own = {p: F.try_element_at("at", F.col(c)) for p, c in (("id", "smp"), ("father", "father_smp"), ("mother", "mother_smp"))}
+    rows = rows.select("smp", "father_smp", "mother_smp", *[x.alias(p) for p, x in own.items()]).where("father is not null and mother is not null")
+    hom = lambda p: rc.homozygous(F.col(f"{p}.a0"), F.col(f"{p}.a1"))
+    het = hom("father") & hom("mother") & (F.col("father.a0") == F.col("mother.a0")) & rc.heterozygous(F.col("id.a0"), F.col("id.a1"))
+    against = lambda p: hom(p) & hom("id") & (F.col(f"{p}.a0") != F.col("id.a0"))
+    kinds = rows.groupBy("smp", "father_smp", "mother_smp").agg(F.count_if(het).alias("het_of_equal_homs"), F.count_if(against("father")).alias("opposite_father"), F.count_if(against("mother")).alias("opposite_mother"))
+    return kids.join(kinds, ["smp", "father_smp", "mother_smp"]).select("id", "het_of_equal_homs", "opposite_father", "opposite_mother")
 
 
 def r2(genotypes: DataFrame, reach: int, least: int) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -12,21 +10,7 @@ from kinloom import adapters as ad
 from kinloom.adapters import with_sql
 from kinloom.functions import recode as rc
 from kinloom.operators import graph, intervals, joins, kernels, phasing, sequence, stats
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from kinloom.plans.register import ORACLES, QUERIES, query  # noqa: F401
 
 def _n(condition):
     return F.count_if(condition)
@@ -371,7 +355,13 @@ _HOM = "h AS (SELECT c.snp, p.id, c.a0, c.a1 FROM persons p JOIN calls c ON c.sm
   COUNT(*) FILTER (m.a0=m.a1 AND m.a0<>0 AND k.a0=k.a1 AND k.a0<>0 AND k.a0<>m.a0) AS opposite_mother, t.id
   FROM persons t JOIN h k ON k.id=t.id JOIN h f ON f.id=t.father AND f.snp=k.snp JOIN h m ON m.id=t.mother AND m.snp=k.snp WHERE t.father<>0 AND t.mother<>0 GROUP BY t.id"""))
 def q_mendel_errors(s, d):
-    return stats.mendel_errors(ad.persons(s, d), ad.calls(s, d))
+    return stats.mendel_errors(_sampled(s, d), ad.calls(s, d))
+
+
+def _sampled(s, d) -> DataFrame:
+    """Persons with the samples that stand for them and their parents."""
+    p = ad.persons(s, d)
+    return stats.with_samples(p, p.select("id", (F.col("id") % ad.SAMPLES).alias("smp")))
 
 
 @query(with_sql("calls snps", f""", {RECODED}, x AS (SELECT r.snp, smp, g FROM r WHERE g>0) SELECT a.snp AS snp1, b.snp AS snp2, COUNT(*) AS n, ((COUNT(*)*SUM(a.g*b.g)-SUM(a.g)*SUM(b.g))*(COUNT(*)*SUM(a.g*b.g)-SUM(a.g)*SUM(b.g))*100000
@@ -538,10 +528,13 @@ def q_consensus_majority(s, d):
   s4 AS (SELECT *, CASE WHEN h0=0 AND k1<>0 AND a0<>0 AND a1<>0 THEN CASE WHEN a0=k1 THEN a1 WHEN a1=k1 THEN a0 ELSE h0 END ELSE h0 END AS k0 FROM s3)
   SELECT smp, SUM(CASE WHEN k0<>0 THEN 1 ELSE 0 END + CASE WHEN k1<>0 THEN 1 ELSE 0 END)::BIGINT AS filled, 2*COUNT(*) AS total FROM s4 GROUP BY smp"""))
 def q_phase_trivial(s, d):
-    p = ad.persons(s, d)
-    own = p.select(F.col("id"), (F.col("id") % 64).alias("smp")).join(ad.calls(s, d), "smp").select("snp", F.col("id").alias("smp"), "a0", "a1")
-    no = p.withColumns({c: F.when(F.col(c) != 0, F.col(c)) for c in ("father", "mother")})
-    return phasing.fill_rates(phasing.from_parents(phasing.from_homozygous(own), no), "smp")
+    p = _sampled(s, d)
+    phased = phasing.from_parents(phasing.from_homozygous(ad.calls(s, d)), stats.trio_kinds(p))
+    rates = phasing.fill_rates(phased, "smp", "father_smp", "mother_smp")
+    same = F.lit(True)
+    for c in ("smp", "father_smp", "mother_smp"):
+        same = same & p[c].eqNullSafe(rates[c])
+    return p.join(rates, same).select(p["id"].alias("smp"), "filled", "total")
 
 
 @query()
@@ -614,3 +607,6 @@ def q_reverse_complement(s, d):
     """Exploded ranges, and names as bases turned round."""
     g = ad.load(s, d, "nation").select(F.col("n_nationkey").alias("nation"), F.explode(F.sequence(F.lit(0), F.col("n_nationkey") + 2)).alias("k"), F.col("n_name").alias("name"))
     return g.groupBy("nation").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.max(rc.reverse_complement(F.col("name"))).alias("turned"))
+
+
+from kinloom.plans import reports  # noqa: E402, F401

@@ -143,3 +143,30 @@ def test_stream(spark, tmp_path):
     q = counts.genotype_counts_stream(stream).writeStream.format("memory").queryName("gc").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("gc"), "snp", "n11", "n12", "n22", "n00") == [(1, 1, 1, 0, 0), (2, 0, 0, 1, 0)]
+
+
+def test_binomial_of_many(spark):
+    """Against logarithms of factorials, at counts where powers of a half vanish."""
+    import math
+
+    def twin(x, y):
+        n = x + y
+        inside = sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(min(x, y) + 1, max(x, y) + 1))
+        return 1 - inside
+
+    rows = [(515, 515), (700, 715), (3, 9), (0, 1), (1200, 1300), (0, 1415)]
+    df = spark.createDataFrame(rows, "a long, b long").select("a", "b", rc.binomial_p(F.col("a"), F.col("b")).alias("p"))
+    for r in df.collect():
+        assert abs(r.p - twin(r.a, r.b)) < 1e-9
+
+
+def test_trio_errors_are_cleared(spark):
+    """A child that its parents can't have is found and zeroed, and only it."""
+    from kinloom.operators import phasing
+
+    calls = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 1, 1), (1, 3, 1, 2), (2, 1, 1, 2), (2, 2, 1, 1), (2, 3, 1, 2), (3, 1, 2, 2), (3, 3, 1, 1)], "snp long, smp long, a0 int, a1 int")
+    kinds = spark.createDataFrame([(3, 1, 2)], "smp long, father_smp long, mother_smp long")
+    bad = phasing.trio_errors(calls, kinds)
+    assert sorted(map(tuple, bad.collect())) == [(1, 3), (3, 3)]
+    left = phasing.clear_errors(phasing.from_homozygous(calls), bad).where("smp = 3").collect()
+    assert sorted((r.snp, r.a0, r.a1, r.h0, r.h1) for r in left) == [(1, 0, 0, 0, 0), (2, 1, 2, 0, 0), (3, 0, 0, 0, 0)]
