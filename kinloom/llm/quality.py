@@ -6,11 +6,11 @@ different symbols before an n-gram; discounts D1, D2, D3+ come from counts of co
 that were seen, and the back-off weights of all contexts, come from joins of these count tables on n-gram keys, which
 shuffle by key however large they grow.
 
-Documents are scored by one sharded join, the same at every size. They are dealt to blocks of about BLOCK_BYTES; the
+Documents are scored by one sharded join, the same at every size. They are dealt, in compressed batches, to blocks of about BLOCK_BYTES; the
 different n-grams of a block go, packed, to the shard that holds the two symbols before their last one, and so do the
 rows of the model: all orders from three on of an n-gram and its contexts then lie in one shard. Orders one and two
 have at most 66,000 rows a language and are sent to every task. What a shard finds goes back to the block, whose
-documents are summed from it. Only distinct n-grams of blocks and, once, the texts are moved.
+documents are summed from it. Only distinct n-grams of blocks and, once, the compressed texts are moved.
 
 One trusted document of FOLDS (by hashed id) is not counted. A document is kept if its log perplexity per byte is not
 below a low quantile of that of all trusted documents of its language, which are no less likely than unseen ones, and not
@@ -31,15 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinloom.llm import text as tx
 from kinloom.llm.store import rows_of, staged
 
 ORDER = 5
 #: Bytes of text in a block, whose different n-grams are looked up together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 #: One trusted document of so many is left out of the counts, to see what unseen good text is like.
 FOLDS = 5
 LOW, HIGH = 0.01, 0.97
@@ -171,8 +173,36 @@ def _shard_of(grams: np.ndarray, lang: int, shards: int) -> np.ndarray:
     return ((grams >> 8 & 0xFFFF) * 40503 + lang) % shards
 
 
+def _packed(blocks: int):
+    """Batches of rows, compressed, and the block of each, drawn by task and number."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            block = zlib.crc32(f"{part}:{k}".encode()) % blocks
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block__", "data"])
+
+    return of
+
+
+def _unpacked(data: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(data.as_buffer())
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """Slices of a batch, and of each the columns that are scored."""
+    for part in tx.slices(batch, "text__"):
+        columns = [part.column(part.schema.get_field_index(c)) for c in ("text__", "lang__")]
+        yield part, pa.RecordBatch.from_arrays([pa.nulls(part.num_rows), columns[1], columns[0]], ["none", "lang", "text"])
+
+
 def _lists(languages: dict[str, int], order: int, shards: int):
-    """Of documents with a block__: the different n-grams of each block, language and shard."""
+    """Of packed documents: the different n-grams of each block, language and shard."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, str], list[np.ndarray]] = {}
@@ -184,13 +214,12 @@ def _lists(languages: dict[str, int], order: int, shards: int):
                 held[key] = [np.unique(np.concatenate(own))]
 
         for batch in batches:
-            for part in tx.slices(batch):
-                blocks = part.column(0).to_numpy()
-                for b in np.unique(blocks).tolist():
-                    rows = part.filter(pa.array(blocks == b))
-                    for lang, _, g, _ in _per_language(rows, order):
-                        if lang in languages and len(g):
-                            add((b, lang), g)
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for rows in _unpacked(data):
+                    for _, part in _texts(rows):
+                        for lang, _, g, _ in _per_language(part, order):
+                            if lang in languages and len(g):
+                                add((b, lang), g)
         for (b, lang), own in held.items():
             g = np.unique(np.concatenate(own))
             shard = _shard_of(g, languages[lang], shards)
@@ -248,8 +277,8 @@ def _tables(parts: list[pa.RecordBatch]) -> dict[tuple[str, int, int], tuple[np.
     return out
 
 
-def _summed(order: int, names: list[str]):
-    """Of a block's documents and what the shards found: all columns, n_bytes__, log_perplexity__."""
+def _summed(order: int, names: list[str], schema: pa.Schema):
+    """Of a block's documents and what the shards found: the named columns, n_bytes__, log_perplexity__."""
 
     def of(docs: pa.Table, found: pa.Table) -> pa.Table:
         tables: dict[str, list] = {}
@@ -261,52 +290,54 @@ def _summed(order: int, names: list[str]):
             g, v = (np.concatenate(x) for x in zip(*own, strict=True))
             by = np.argsort(g)
             known[lang] = g[by], v[by].astype(float)
-        sizes, values = [], []
-        for batch in docs.select(["block__", "lang__", "text__"]).rename_columns(["block__", "lang__", "text"]).to_batches():
-            for part in tx.slices(batch):
-                size = np.diff(tx.as_bytes(part.column(2))[1])
-                value = np.full(part.num_rows, np.nan)
-                for lang, rows, g, owner in _per_language(part, order):
-                    if lang in known and len(g):
-                        keys, logp = known[lang]
-                        total = np.bincount(owner, logp[np.searchsorted(keys, g)], minlength=len(rows))
-                        some = size[rows] > 0
-                        value[rows[some]] = -total[some] / size[rows][some]
-                sizes.append(size)
-                values.append(value)
-        size, value = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, values))
-        return pa.Table.from_arrays([*(docs.column(c) for c in names), pa.array(size, pa.int64()), pa.array(value, mask=np.isnan(value))], [*names, "n_bytes__", "log_perplexity__"])
+        out = []
+        for data in docs.column("data"):
+            for batch in _unpacked(data):
+                for rows, part in _texts(batch):
+                    size = np.diff(tx.as_bytes(part.column(2))[1])
+                    value = np.full(part.num_rows, np.nan)
+                    for lang, at, g, owner in _per_language(part, order):
+                        if lang in known and len(g):
+                            keys, logp = known[lang]
+                            total = np.bincount(owner, logp[np.searchsorted(keys, g)], minlength=len(at))
+                            some = size[at] > 0
+                            value[at[some]] = -total[some] / size[at][some]
+                    own = [rows.column(rows.schema.get_field_index("text__" if c == "text" and "text" not in rows.schema.names else c)) for c in names]
+                    out.append(pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), pa.array(value, mask=np.isnan(value))], [*names, "n_bytes__", "log_perplexity__"]))
+        return pa.Table.from_batches(out) if out else schema.empty_table()
 
     return of
 
 
-def score(docs: DataFrame, seen: DataFrame, contexts: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns, n_bytes__ and log_perplexity__ (null where the language has no model or the text is empty)."""
+def score(docs: DataFrame, seen: DataFrame, contexts: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep``, all if not named, n_bytes__ and log_perplexity__ (null where the language has no model or
+    the text is empty)."""
     spark = docs.sparkSession
-    names = docs.columns
+    names = docs.columns if keep is None else keep
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).collect()[0][0] or 0
     blocks = max(1, -(-total // block_bytes))
     languages = {r["lang"]: k for k, r in enumerate(seen.select("lang").distinct().orderBy("lang").collect())}
     shards = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     code = F.create_map(*[F.lit(x) for pair in languages.items() for x in pair]) if languages else F.lit(None)
 
-    rows = docs.withColumns({"lang__": F.col("lang").cast("string"), "text__": F.col("text").cast("string")})
-    rows = rows.withColumn("block__", F.pmod(F.xxhash64("doc_id", "text__"), F.lit(blocks)).cast("int")).repartition(max(1, -(-blocks // 3)), "block__")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema = f"{fields}, n_bytes__ long, log_perplexity__ double"
+    fields = [f for f in docs.schema.fields if f.name in names]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes__ long, log_perplexity__ double"
+    rows = docs.select(*[c for c in names if c != "text"], F.col("lang").cast("string").alias("lang__"), F.col("text").cast("string").alias("text__"), *([F.col("text")] if "text" in names and dict(docs.dtypes)["text"] != "string" else []))
     if not languages:
-        return rows.select(*names, F.octet_length(F.coalesce("text__", F.lit(""))).cast("long").alias("n_bytes__"), F.lit(None).cast("double").alias("log_perplexity__"))
+        return docs.select(*names, F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("n_bytes__"), F.lit(None).cast("double").alias("log_perplexity__"))
+    rows = rows.mapInArrow(_packed(blocks), "block__ int, data binary").repartition(blocks, "block__")
 
     model = seen.select(F.lit(0).alias("kind"), "lang", "k", F.col("gram").alias("key"), F.col("logp").alias("value"))
     model = model.union(contexts.select(F.lit(1), "lang", "k", "context", "logb"))
     common = _tables([b for b in model.where("k <= 2").select(F.lit(0).alias("shard"), "kind", "lang", "k", "key", "value").toArrow().to_batches() if b.num_rows])
     pair = F.when(F.col("kind") == 0, F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(0xFFFF))
     model = model.where("k > 2").select(F.pmod(pair * 40503 + F.element_at(code, F.col("lang")), F.lit(shards)).cast("int").alias("shard"), "kind", "lang", "k", "key", "value", F.lit(None).cast("int").alias("block"), F.lit(None).cast("binary").alias("data"))
-    lists = rows.select("block__", F.col("lang__").alias("lang"), F.col("text__").alias("text")).mapInArrow(_lists(languages, order, shards), "shard int, block int, lang string, data binary")
+    lists = rows.mapInArrow(_lists(languages, order, shards), "shard int, block int, lang string, data binary")
     lists = lists.select("shard", F.lit(2).alias("kind"), "lang", F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "block", "data")
     both = model.union(lists).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "lang", "k", "key")
     found = both.mapInArrow(_looked_up(common, order), "block__ int, lang string, grams binary, logp binary")
-    return rows.groupBy("block__").cogroup(found.groupBy("block__")).applyInArrow(_summed(order, names), schema)
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    return rows.groupBy("block__").cogroup(found.groupBy("block__")).applyInArrow(_summed(order, names, arrow), schema)
 
 
 def _trusted_ids(labels: DataFrame) -> DataFrame:
@@ -322,11 +353,11 @@ def _counted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows_of(_source(docs).where("lang is not null"), staged(ids.where(~_held_out()), "counted"), "doc_id")
 
 
-def _classified(docs: DataFrame, labels: DataFrame, order: int, low: float, high: float, margin: float, block_bytes: int) -> DataFrame:
-    """All columns, then n_bytes__, log_perplexity__, low__, high__, keep__."""
+def _classified(docs: DataFrame, labels: DataFrame, order: int, low: float, high: float, margin: float, block_bytes: int, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep``, all if not named, then n_bytes__, log_perplexity__, low__, high__, keep__."""
     ids = _trusted_ids(labels)
     seen, contexts = model(_counted(docs, ids), order)
-    scored = staged(score(docs, seen, contexts, order, block_bytes), "scored")
+    scored = staged(score(docs, seen, contexts, order, block_bytes, keep), "scored")
     rounded = F.round("log_perplexity__", DIGITS)
     known = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("of__"), "log_perplexity__").where("log_perplexity__ is not null")
     known = rows_of(known, ids, "doc_id")
@@ -343,7 +374,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, low: float
     """doc_id, lang, n_bytes, log_perplexity, low, high, keep of every row."""
     source = _source(docs)
     names = {"n_bytes__": "n_bytes", "log_perplexity__": "log_perplexity", "low__": "low", "high__": "high", "keep__": "keep"}
-    return _classified(source, labels, order, low, high, margin, block_bytes).select("doc_id", "lang", *[F.col(a).alias(b) for a, b in names.items()])
+    return _classified(source, labels, order, low, high, margin, block_bytes, ["doc_id", "lang"]).select("doc_id", "lang", *[F.col(a).alias(b) for a, b in names.items()])
 
 
 def accepted(docs: DataFrame, labels: DataFrame, order: int = ORDER, low: float = LOW, high: float = HIGH, margin: float = MARGIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
