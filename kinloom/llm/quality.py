@@ -42,6 +42,8 @@ from kinloom.llm.store import rows_of, staged
 ORDER = 5
 #: Bytes of text in a block, whose different n-grams are looked up together.
 BLOCK_BYTES = 32 << 20
+#: Partitions that blocks are dealt to at most; a partition may hold many.
+MOST_PARTS = 1 << 15
 #: One trusted document of so many is left out of the counts, to see what unseen good text is like.
 FOLDS = 5
 LOW, HIGH = 0.01, 0.97
@@ -174,7 +176,7 @@ def _shard_of(grams: np.ndarray, lang: int, shards: int) -> np.ndarray:
 
 
 def _packed(blocks: int):
-    """Batches of rows, compressed, and the block of each, drawn by task and number."""
+    """Batches of rows, compressed, and the block of each, which follows from task and number."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -184,7 +186,7 @@ def _packed(blocks: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
-            block = zlib.crc32(f"{part}:{k}".encode()) % blocks
+            block = (part * 7919 + k) % blocks  # in turn, from another block on in each task
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block__", "data"])
 
     return of
@@ -325,7 +327,7 @@ def score(docs: DataFrame, seen: DataFrame, contexts: DataFrame, order: int = OR
     rows = docs.select(*[c for c in names if c != "text"], F.col("lang").cast("string").alias("lang__"), F.col("text").cast("string").alias("text__"), *([F.col("text")] if "text" in names and dict(docs.dtypes)["text"] != "string" else []))
     if not languages:
         return docs.select(*names, F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("n_bytes__"), F.lit(None).cast("double").alias("log_perplexity__"))
-    rows = rows.mapInArrow(_packed(blocks), "block__ int, data binary").repartition(blocks, "block__")
+    rows = rows.mapInArrow(_packed(blocks), "block__ int, data binary").repartition(min(4 * blocks, MOST_PARTS), "block__")
 
     model = seen.select(F.lit(0).alias("kind"), "lang", "k", F.col("gram").alias("key"), F.col("logp").alias("value"))
     model = model.union(contexts.select(F.lit(1), "lang", "k", "context", "logb"))
