@@ -29,6 +29,8 @@ SPAN = 30
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words, seen before A-Z are lower-cased.
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same classes written by what is in them, which the JVM matches about twice as fast.
+JVM_WORD, JVM_ANY_CASE = r"[0-9a-z\x{80}-\x{10FFFF}]++", r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases and labels of the scan.
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
@@ -85,7 +87,7 @@ def _places(text: Column, phrase: str) -> Column:
     seen = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("places"))
 
     def step(acc: Column, piece: Column) -> Column:
-        at = acc["at"] + F.regexp_count(piece, F.lit(WORD))
+        at = acc["at"] + F.regexp_count(piece, F.lit(JVM_WORD))
         return F.struct((at + width).alias("at"), F.concat(acc["places"], F.array(at)).alias("places"))
 
     return F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), seen, step, lambda acc: acc["places"])
@@ -103,7 +105,7 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str,
         raise ValueError(f"a template has at most {SPAN} words")
     sets = [(label, i, sorted(set(t.split()))) for label, ts in (templates or TEMPLATES).items() for i, t in enumerate(ts)]
     vocabulary = sorted({t for _, _, tokens in sets for t in tokens})
-    words = lambda c: F.regexp_extract_all(_lower(c), F.lit(WORD), F.lit(0))
+    words = lambda c: F.regexp_extract_all(_lower(c), F.lit(JVM_WORD), F.lit(0))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
 
@@ -141,9 +143,14 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str,
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    likely = text.rlike("(?i)license|cc" + GAP + "by")
-    low = F.when(likely, _lower(text)).otherwise(F.lit(""))
-    base = docs.select("doc_id", F.xxhash64(text).alias("key"), F.regexp_count(text, F.lit(ANY_CASE)).cast("long").alias("n_words"), low.alias("low"))
+    base = docs.select("doc_id", F.xxhash64(text).alias("key"), F.regexp_count(text, F.lit(JVM_ANY_CASE)).cast("long").alias("n_words"), _lower(text).alias("low"))
+    some = F.lit(False)
+    for phrase in BASE.values():  # a phrase can only stand where all its words do
+        every = F.lit(True)
+        for word in sorted(set(phrase.split()), key=len, reverse=True):
+            every = every & F.contains("low", F.lit(word))
+        some = some | every
+    base = base.withColumn("low", F.when(some, F.col("low")).otherwise(F.lit("")))
     base = base.select("doc_id", "key", "n_words", *[F.when(F.col("low") != "", _places(F.col("low"), p)).otherwise(F.array().cast("array<long>")).alias(f"p{k}") for k, p in enumerate(BASE.values())])
     columns = [F.col(f"p{k}") for k in range(len(BASE))]
     every = F.concat(*columns)

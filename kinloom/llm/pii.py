@@ -29,7 +29,7 @@ from kinloom.llm.store import staged
 
 #: Words on each side of an entity that are its context, and bits by which a term may tell less than all.
 WINDOW, SLACK = 5, 1.0
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 _LOCAL, _HOST = r"A-Za-z0-9._%+-", r"[A-Za-z0-9-]++"
 #: The kinds, in order, and what they look like.
 PATTERNS = {
