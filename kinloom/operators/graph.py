@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the shared checkpoint folder; set to a temporary one only where none is set."""
+    """End the lineage in the shared checkpoint folder; set to a temporary one only where none is set and one machine
+    runs everything."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="kinloom-"))
     return df.checkpoint()
 
 
@@ -34,13 +38,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def levels(persons: DataFrame) -> DataFrame:
-    """id, depth: the longest way down from a founder, one join for each generation."""
+    """id, depth: the longest way down from a founder, one join for each generation. ValueError on a cycle."""
     edges = cut(parent_edges(persons))
     depth = cut(persons.select("id").join(edges.select(F.col("child").alias("id")), "id", "left_anti").withColumn("depth", F.lit(0)))
     front = depth
-    step = 0
+    step, most = 0, persons.count()
     while True:
         step += 1
+        if step > most:
+            raise ValueError("someone is their own ancestor")
         front = cut(edges.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id")).distinct().withColumn("depth", F.lit(step)))
         if front.isEmpty():
             return depth

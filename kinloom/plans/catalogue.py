@@ -378,7 +378,11 @@ def q_ld_components(s, d):
     return graph.components(ad.ld_edges(s, d).where("r2 >= 0.75"), "snp1", "snp2")
 
 
-@query()
+@query(with_sql("calls ld", f""", {RECODED}, e AS (SELECT snp1 AS a, snp2 AS b FROM ld WHERE r2>=0.75), n AS (SELECT a FROM e UNION SELECT b FROM e),
+  s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), t AS (SELECT a AS node, a AS c FROM n UNION SELECT s.b, t.c FROM t JOIN s ON s.a=t.node AND t.c<=s.b),
+  comp AS (SELECT node, MIN(c) AS component FROM t GROUP BY node), rate AS (SELECT snp, ROUND(AVG(CASE WHEN g>0 THEN 1.0 ELSE 0.0 END), 6) AS cr FROM r GROUP BY snp),
+  b AS (SELECT rate.snp, cr, COALESCE(component, rate.snp) AS block FROM rate LEFT JOIN comp ON node=rate.snp),
+  k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY block ORDER BY cr DESC, snp DESC) AS i, COUNT(*) OVER (PARTITION BY block) AS size FROM b) SELECT block, snp AS kept, size FROM k WHERE i=1""", True))
 def q_ld_prune(s, d):
     rate = stats.call_rate(_recoded(s, d), "snp").select("snp", "call_rate")
     return graph.prune(ad.ld_edges(s, d), rate, 0.75)

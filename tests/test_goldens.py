@@ -170,3 +170,20 @@ def test_trio_errors_are_cleared(spark):
     assert sorted(map(tuple, bad.collect())) == [(1, 3), (3, 3)]
     left = phasing.clear_errors(phasing.from_homozygous(calls), bad).where("smp = 3").collect()
     assert sorted((r.snp, r.a0, r.a1, r.h0, r.h1) for r in left) == [(1, 0, 0, 0, 0), (2, 1, 2, 0, 0), (3, 0, 0, 0, 0)]
+
+
+def test_levels_of_a_cycle(spark):
+    """Founder 1 has child 2; 2 and 3 are each other's children."""
+    import pytest
+
+    df = spark.createDataFrame([(1, 0, 0), (2, 1, 3), (3, 2, 0)], "id long, father long, mother long")
+    with pytest.raises(ValueError):
+        graph.levels(df)
+
+
+def test_imputation_through_a_clique(spark):
+    """A homozygous sample fixes its cliques; a heterozygous member's other haplotype follows and goes on to its own."""
+    calls = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 1, 2), (1, 3, 0, 0)], "snp long, smp long, a0 int, a1 int")
+    cliques = spark.createDataFrame([(1, 0, 1, 0), (1, 0, 2, 0), (1, 1, 2, 1), (1, 1, 3, 0)], "snp long, grp long, smp long, allele int")
+    got = {(r.smp, r.allele): r.v for r in kernels.impute(calls, cliques).collect()}
+    assert got == {(1, 0): 1, (1, 1): 1, (2, 0): 1, (2, 1): 2, (3, 0): 2}
