@@ -7,6 +7,7 @@ import tempfile
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -80,6 +81,36 @@ def lowest_common_ancestor(pairs: DataFrame, up: DataFrame) -> DataFrame:
     return best.select("x", "y", F.col("m.lca").alias("lca"), F.col("m.distance").alias("distance"))
 
 
+def neighbours(persons: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """id, neighbour, distance: persons at most ``depth`` parent-child steps from each id of ``start``, itself included."""
+    down = parent_edges(persons).select("parent", "child")
+    edges = down.union(down.select("child", "parent")).toDF("a", "b").distinct()
+    out = front = start.select("id", F.col("id").alias("neighbour"), F.lit(0).alias("distance"))
+    for step in range(1, depth + 1):
+        front = front.join(edges, front["neighbour"] == edges["a"]).select("id", F.col("b").alias("neighbour")).distinct().withColumn("distance", F.lit(step))
+        out = out.union(front)
+    return out.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
+
+
+def numbered(persons: DataFrame, width: int = 4096) -> DataFrame:
+    """persons with ``node``, places from 0, genotyped ones first and then by id. Ids are numbered within bins of ``width``
+    and bins moved by the counts before them, so that no task sees all rows."""
+    rows = persons.withColumns({"rest__": ~F.col("genotyped"), "bin__": F.floor(F.col("id") / width)})
+    counts = rows.groupBy("rest__", "bin__").agg(F.count("*").alias("count__"))
+    before = F.coalesce(F.sum("count__").over(W.orderBy("rest__", "bin__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy("rest__", "bin__").orderBy("id")) - 1
+    out = rows.withColumn("within__", within).join(counts.select("rest__", "bin__", before.alias("before__")), ["rest__", "bin__"])
+    return out.select(*persons.columns, (F.col("before__") + F.col("within__")).alias("node"))
+
+
+def sub_pedigree(persons: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pedigree of some ids only, as node, id, father, mother (nodes; null: none or left out), numbered anew."""
+    kept = numbered(persons.join(ids.select("id").distinct(), "id", "left_semi"))
+    side = lambda p: kept.select(F.col("id").alias(p), F.col("node").alias(f"{p}_node"))
+    out = kept.select("node", "id", "father", "mother").join(side("father"), "father", "left").join(side("mother"), "mother", "left")
+    return out.select("node", "id", F.col("father_node").alias("father"), F.col("mother_node").alias("mother"))
+
+
 def families(persons: DataFrame) -> DataFrame:
     """father, mother, children (ascending), n."""
     both = persons.where("father <> 0 and mother <> 0")

@@ -157,11 +157,20 @@ def disjoint_groups(covered: DataFrame, region: int = 4096) -> DataFrame:
     return covered.groupBy("k", F.floor(F.col("lo") / region).alias("region")).applyInPandas(run, "k long, lo long, hi long, members array<long>")
 
 
+def other_allele(h: int, same: int, other: int) -> int:
+    """The allele opposite a known one, h, in a genotype of which one allele may be missing; 0 if that leaves it open.
+    ``same`` is the genotype's allele at the place of h."""
+    if same not in (0, h, other):
+        return same
+    return other if same == h or (same == 0 and other == 3 - h) else 0
+
+
 def impute_snp(genotype: dict[int, tuple[int, int]], cliques: list[list[tuple[int, int]]], threshold: float = 0.66, most: int = 1000) -> dict[tuple[int, int], int]:
     """Alleles of (sample, allele) haplotypes at one SNP, spread through cliques from homozygous training samples.
 
     A queue begins with both haplotypes of each homozygous sample. Each popped one's clique takes the consensus of its
-    known members; training samples with one haplotype known are completed from their genotype and queued."""
+    known members; any member with a genotype, called in part or whole, of which just one haplotype is known is then
+    completed from it and queued. A haplotype once known stays known, so a queue has at most two entries a sample."""
     ratio = threshold / (1 - threshold)
     group = {h: k for k, c in enumerate(cliques) for h in c}
     hap: dict[tuple[int, int], int] = {}
@@ -180,16 +189,15 @@ def impute_snp(genotype: dict[int, tuple[int, int]], cliques: list[list[tuple[in
         members = cliques[group[h]] if h in group else [h]
         n1, n2 = (sum(hap.get(m) == v for m in members) for v in (1, 2))
         value = 1 if n1 >= ratio * n2 else 2 if n2 >= ratio * n1 else 0
-        for m in members:
-            old = hap.get(m, 0)
-            if value:
-                hap[m] = value
-            s = m[0]
-            if value and not old and s in genotype and all(genotype[s]) and not hap.get((s, 1 - m[1]), 0):
-                a, b = genotype[s]
-                if value in (a, b):
-                    hap[s, 1 - m[1]] = b if value == a else a
-                    queue.append((s, 1 - m[1]))
+        if value:
+            hap.update((m, value) for m in members)
+        for s in [m[0] for m in members]:
+            own = hap.get((s, 0), 0), hap.get((s, 1), 0)
+            if any(genotype.get(s, ())) and (own[0] == 0) != (own[1] == 0):
+                side = 0 if own[0] else 1
+                if other := other_allele(own[side], genotype[s][side], genotype[s][1 - side]):
+                    hap[s, 1 - side] = other
+                    queue.append((s, 1 - side))
     for s, (a, b) in genotype.items():
         known = (hap.get((s, 0), 0) != 0) + (hap.get((s, 1), 0) != 0)
         if (a != 0) + (b != 0) > known:

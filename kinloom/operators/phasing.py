@@ -50,6 +50,18 @@ def clear_errors(phased: DataFrame, errors: DataFrame) -> DataFrame:
     return marked.select(*[F.when(F.col("bad__"), F.lit(0)).otherwise(F.col(c)).alias(c) if c in ("a0", "a1", "h0", "h1") else F.col(c) for c in phased.columns])
 
 
+def impute_parents(calls: DataFrame, haps: DataFrame, family: DataFrame) -> DataFrame:
+    """snp, smp, a0, a1 with a parent's first missing allele taken from a child both of whose haplotypes are known; of
+    several children the last one's. ``haps``: snp, smp, h0 (the father's), h1; ``family``: smp, father, mother (null:
+    none). A sample is father only or mother only."""
+    child = haps.where("h0 <> 0 and h1 <> 0").join(family, "smp")
+    given = child.select("snp", F.inline(F.array(F.struct(F.col("father").alias("parent"), F.col("h0").alias("v")), F.struct(F.col("mother").alias("parent"), F.col("h1").alias("v")))), F.col("smp").alias("child"))
+    last = given.where("parent is not null").groupBy("snp", F.col("parent").alias("smp")).agg(F.max_by("v", "child").alias("v"))
+    a0, a1, v = F.col("a0"), F.col("a1"), F.col("v")
+    j = calls.join(last, ["snp", "smp"], "left")
+    return j.select("snp", "smp", F.when((a0 == 0) & v.isNotNull(), v).otherwise(a0).alias("a0"), F.when((a0 != 0) & (a1 == 0) & v.isNotNull(), v).otherwise(a1).alias("a1"))
+
+
 def fill_rates(phased: DataFrame, *by: str) -> DataFrame:
     filled = (F.col("h0") != 0).cast("int") + (F.col("h1") != 0).cast("int")
     return phased.groupBy(*by).agg(F.sum(filled).alias("filled"), (2 * F.count("*")).alias("total"))

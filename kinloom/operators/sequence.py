@@ -40,6 +40,19 @@ def median5(df: DataFrame, by: list[str], at: str, value: str) -> Column:
     return F.when(ones >= 3, 1).otherwise(0)
 
 
+def median(df: DataFrame, by: list[str], at: str, value: str, width: int) -> DataFrame:
+    """by, at, m: the median of an odd ``width`` of values around each, sequences being reflected at their ends (the edge
+    value twice, as often as a short sequence needs it). No values are null."""
+    if width % 2 == 0:
+        raise ValueError("the width is odd")
+    half, w = width // 2, W.partitionBy(*by).orderBy(at)
+    rows = df.select(*by, at, (F.row_number().over(w) - 1).alias("i"), F.count("*").over(W.partitionBy(*by)).cast("int").alias("n"), F.collect_list(value).over(w.rowsBetween(-half, half)).alias("near"))
+    turned = lambda k: F.when(k < F.col("n"), k).otherwise(2 * F.col("n") - 1 - k)
+    place = lambda k: turned(F.pmod(F.col("i") + k, 2 * F.col("n"))) - F.greatest(F.lit(0), F.col("i") - half)
+    around = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.get("near", place(k).cast("int")))
+    return rows.select(*by, at, F.get(F.array_sort(around), F.lit(half)).alias("m"))
+
+
 def max_except_centre(value: str, w, half: int) -> Column:
     """0 where the value isn't 1, else the largest of its neighbours."""
     around = F.greatest(F.coalesce(F.max(value).over(w.rowsBetween(-half, -1)), F.lit(0)), F.coalesce(F.max(value).over(w.rowsBetween(1, half)), F.lit(0)))

@@ -613,4 +613,4 @@ def q_reverse_complement(s, d):
     return g.groupBy("nation").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.max(rc.reverse_complement(F.col("name"))).alias("turned"))
 
 
-from kinloom.plans import reports  # noqa: E402, F401
+from kinloom.plans import relatives, reports  # noqa: E402, F401

@@ -100,6 +100,45 @@ def write_impute2(calls: DataFrame, path: str) -> None:
     calls.groupBy("snp").agg(F.array_join(F.transform(cell, lambda x: x["c"]), " ").alias("cells")).select(F.concat_ws(" ", F.col("snp").cast("string"), "cells")).write.text(path)
 
 
+def write_long(calls: DataFrame, path: str) -> None:
+    """A line snp,sample,allele,allele for each genotype."""
+    calls.select(F.concat_ws(",", *[F.col(c).cast("string") for c in ("snp", "smp", "a0", "a1")])).write.text(path)
+
+
+def read_segment_sets(spark: SparkSession, path: str) -> DataFrame:
+    """snp_start, snp_stop, bp_start, bp_stop, haps (an array of smp, allele) of lines of numbers."""
+    c = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("long"))
+    rows = spark.read.text(path).where("trim(value) <> ''").select(c.alias("c"))
+    haps = F.transform(F.sequence(F.lit(2), (F.size("c") / 2 - 1).cast("int")), lambda k: F.struct(F.get("c", 2 * k).alias("smp"), F.get("c", 2 * k + 1).alias("allele")))
+    return rows.select(*[F.col("c")[k].alias(n) for k, n in enumerate(_SEGMENT[:4])], F.when(F.size("c") > 4, haps).otherwise(F.slice(haps, 1, 0)).alias("haps"))
+
+
+def write_segment_sets(segments: DataFrame, path: str) -> None:
+    haps = F.transform("haps", lambda h: F.concat_ws(" ", h["smp"].cast("string"), h["allele"].cast("string")))
+    segments.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in _SEGMENT[:4]], haps)).write.text(path)
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, snps (in the order of the line): a frame of independent SNPs a line. A chromosome may have many."""
+    c = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("long"))
+    return spark.read.text(path).where("trim(value) <> ''").select(c.alias("c")).select(F.col("c")[0].alias("chrom"), F.slice("c", 2, F.size("c")).alias("snps"))
+
+
+def write_frames(frames: DataFrame, path: str) -> None:
+    frames.select(F.concat_ws(" ", F.col("chrom").cast("string"), F.transform("snps", lambda x: x.cast("string")))).write.text(path)
+
+
+def kinship_lines(pairs: DataFrame) -> DataFrame:
+    """place, line of a matrix layout of symmetric values id1, id2, k: a line of ids in order, then one of values for each
+    (0 where a pair is absent). A line is as long as there are ids."""
+    both = pairs.select("id1", "id2", "k").union(pairs.select("id2", "id1", "k").where("id1 <> id2"))
+    ids = both.select(F.col("id1").alias("id")).distinct().agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    rows = both.groupBy("id1").agg(F.map_from_entries(F.collect_set(F.struct("id2", "k"))).alias("k")).crossJoin(F.broadcast(ids))
+    value = lambda i: F.coalesce(F.try_element_at(F.col("k"), i), F.lit(0.0)).cast("string")
+    lines = rows.select(F.array_position("ids", F.col("id1")).alias("place"), F.array_join(F.transform("ids", value), " ").alias("line"))
+    return ids.select(F.lit(0).cast("long").alias("place"), F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("line")).union(lines)
+
+
 def transpose(matrix: DataFrame) -> DataFrame:
     """row, cells of a text matrix (row, cells) turned over."""
     cells = matrix.select("row", F.posexplode("cells").alias("column", "cell"))

@@ -187,3 +187,82 @@ def test_imputation_through_a_clique(spark):
     cliques = spark.createDataFrame([(1, 0, 1, 0), (1, 0, 2, 0), (1, 1, 2, 1), (1, 1, 3, 0)], "snp long, grp long, smp long, allele int")
     got = {(r.smp, r.allele): r.v for r in kernels.impute(calls, cliques).collect()}
     assert got == {(1, 0): 1, (1, 1): 1, (2, 0): 1, (2, 1): 2, (3, 0): 2}
+
+
+def test_imputation_from_partial_genotypes():
+    """A genotype called in part completes a haplotype where that leaves one choice, and the new one goes on to its clique."""
+    cliques = [[(1, 0), (2, 0), (4, 1)], [(2, 1), (5, 0)]]
+    got = kernels.impute_snp({1: (1, 1), 2: (0, 2), 4: (1, 0)}, cliques)
+    assert got == {(1, 0): 1, (1, 1): 1, (2, 0): 1, (2, 1): 2, (4, 1): 1, (5, 0): 2}
+    assert [kernels.other_allele(1, *g) for g in ((1, 2), (2, 1), (2, 0), (0, 2), (0, 1), (1, 0), (2, 2), (0, 0))] == [2, 2, 2, 2, 0, 0, 0, 0]
+
+
+def test_median_of_any_width(spark):
+    values = [3, 1, 4, 1, 5, 9, 2, 6]
+    for n, width in ((8, 3), (8, 7), (2, 5), (1, 5)):
+        df = spark.createDataFrame([(0, i, v) for i, v in enumerate(values[:n])], "k int, at long, v int")
+        padded = np.pad(np.array(values[:n]), width // 2, mode="symmetric")
+        want = [(i, int(np.median(padded[i : i + width]))) for i in range(n)]
+        assert rows(sequence.median(df, ["k"], "at", "v", width), "at", "m") == want
+
+
+def test_parents_take_the_last_childs_allele(spark):
+    calls = spark.createDataFrame([(1, 2, 0, 0), (1, 3, 1, 0), (1, 4, 1, 2), (1, 5, 0, 1)], "snp long, smp long, a0 int, a1 int")
+    haps = spark.createDataFrame([(1, 4, 1, 2), (1, 5, 2, 1), (1, 6, 1, 0)], "snp long, smp long, h0 int, h1 int")
+    family = spark.createDataFrame([(4, 2, 3), (5, 2, None), (6, 2, 3)], "smp long, father long, mother long")
+    from kinloom.operators import phasing
+
+    got = rows(phasing.impute_parents(calls, haps, family), "smp", "a0", "a1")
+    assert got == [(2, 2, 0), (3, 1, 2), (4, 1, 2), (5, 0, 1)]
+
+
+def test_origin_by_kinship(spark):
+    """Members of the first clique are kin of the father, those of the second of the mother: the sample is as it should be."""
+    from kinloom.operators import origin
+
+    cliques = [(0, s, 0, 0) for s in (1, 2, 3, 4)] + [(0, 1, 1, 1)] + [(0, s, 1, 1) for s in (5, 6, 7)]
+    cl = spark.createDataFrame(cliques, "place long, smp long, allele int, grp long")
+    founders = spark.createDataFrame([(s, 100 + s, 200 + s) for s in range(1, 8)], "smp long, father long, mother long")
+    near = lambda p, s: 0.25 if (p < 200) == (s < 5) else 0.125
+    kin = spark.createDataFrame([(p, s, near(p, s)) for q in range(1, 8) for p in (100 + q, 200 + q) for s in range(1, 8)], "id long, smp long, k double")
+    got = origin.flip_measure(cl, founders, kin)
+    log = np.log(4)
+    assert [(r.smp, r.n0, r.n1, round(r.sep, 9)) for r in got.collect()] == [(1, 3, 3, round(log / (1 + log), 9))]
+    assert rows(origin.flip_decision(got), "smp", "n_plus", "n_minus", "phase") == [(1, 1, 0, 1)]
+    assert origin.flip_measure(cl.limit(0), founders, kin).count() == 0
+
+
+def test_more_layouts(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    lines = lambda n: sorted(r.value for r in spark.read.text(at(n)).collect())
+    calls = spark.createDataFrame([(1, 7, 1, 2), (1, 8, 0, 2), (2, 7, 0, 0)], "snp long, smp long, a0 int, a1 int")
+    text.write_long(calls, at("long"))
+    assert lines("long") == ["1,7,1,2", "1,8,0,2", "2,7,0,0"]
+    text.write_lgen(calls, at("lgen"))
+    assert lines("lgen") == ["7 1 1 2", "7 2 0 0", "8 1 0 2"]
+    text.write_impute2(calls, at("impute2"))
+    assert lines("impute2") == ["1 0 1 ? ?", "2 ? ?"]
+    (tmp_path / "sets").write_text("0 9 0 90 5 1 2 0\n3 4 30 40\n")
+    text.write_segment_sets(text.read_segment_sets(spark, at("sets")), at("sets2"))
+    assert lines("sets2") == lines("sets")
+    (tmp_path / "frames").write_text("22 4 1 9\n22 3\n")
+    text.write_frames(text.read_frames(spark, at("frames")), at("frames2"))
+    assert lines("frames2") == lines("frames")
+    pairs = spark.createDataFrame([(1, 1, 0.5), (1, 3, 0.25), (3, 3, 0.5), (2, 2, 0.5)], "id1 long, id2 long, k double")
+    assert rows(text.kinship_lines(pairs), "place", "line") == [(0, "1 2 3"), (1, "0.5 0.0 0.25"), (2, "0.0 0.5 0.0"), (3, "0.25 0.0 0.5")]
+    turned = text.transpose(spark.createDataFrame([(0, ["a", "b"]), (1, ["c", "d"])], "row int, cells array<string>"))
+    assert rows(turned, "row", "cells") == [(0, ["a", "c"]), (1, ["b", "d"])]
+
+
+def test_more_streams(spark, tmp_path):
+    from kinloom.streaming import counts
+
+    typed = spark.createDataFrame([(1, 1, 1, 2)], "snp long, smp long, a0 int, a1 int")
+    spark.createDataFrame([(1, 1, 0, 2, 3), (1, 2, 1, 0, 3)], "snp long, smp long, b0 int, b1 int, tag int").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("snp long, smp long, b0 int, b1 int, tag int").parquet(str(tmp_path / "in"))
+    counts.override_stream(stream, typed).writeStream.format("memory").queryName("ov").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.table("ov"), "smp", "o0", "o1", "tag") == [(1, 1, 2, 0), (2, 1, 0, 3)]
+    spark.sql("select timestamp'2024-01-01 00:00:10' ts, 'a' event_type union all select timestamp'2024-01-01 00:00:50', 'a'").write.parquet(str(tmp_path / "ev"))
+    events = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "ev"))
+    counts.windowed_counts(events, "1 minute", "1 minute").writeStream.format("memory").queryName("wc").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.table("wc"), "event_type", "n") == [("a", 2)]
