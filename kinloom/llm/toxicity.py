@@ -109,6 +109,17 @@ def phi(unit: str) -> tuple[np.ndarray, np.ndarray]:
     return code, value / (np.sqrt((value**2).sum()) or 1.0)
 
 
+def _norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The norm of each row of triples, the weights of equal ones being added up first."""
+    order = code.argsort(axis=1, kind="stable")
+    ranked = np.take_along_axis(code, order, axis=1)
+    new = np.ones(code.shape, bool)
+    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    at = np.flatnonzero(new.ravel())
+    total = np.add.reduceat(weight[order].ravel(), at)
+    return np.sqrt(np.bincount(at // code.shape[1], total**2, minlength=len(code)))
+
+
 def kernel(a: str, b: str) -> float:
     (x, p), (y, q) = phi(a), phi(b)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
@@ -144,12 +155,25 @@ class Landmarks:
 
     def value(self, unit: str) -> np.ndarray | None:
         """Powers of the kernel values with all landmarks, floored; None where all are 0."""
-        if len(unit) < 3 or not self.names:
-            return None
-        code, value = phi(unit)
-        out = value.astype(np.float32) @ self.table[code]
-        out = np.where(out < FLOOR, 0, out) ** POWER
-        return out if out.any() else None
+        return self.values([unit]).get(unit) if len(unit) >= 3 and self.names else None
+
+    def values(self, found: list[str]) -> dict[str, np.ndarray]:
+        """``value`` of units of one length, those that have one. Sums go triple by triple, so that a unit's value doesn't
+        depend on those beside it."""
+        n, out = len(found[0]), {}
+        place = _places(n)
+        weight = place[3].astype(np.float32)
+        for k in range(0, len(found), 1024):
+            part = found[k : k + 1024]
+            c = _codes("".join(part)).reshape(-1, n)
+            code = c[:, place[0]] * LETTERS**2 + c[:, place[1]] * LETTERS + c[:, place[2]]
+            got = np.zeros((len(part), len(self.names)), np.float32)
+            for t, w in enumerate(weight):
+                got += self.table[code[:, t]] * w
+            got /= _norms(code, place[3])[:, None].astype(np.float32)
+            got = np.where(got < FLOOR, 0, got) ** POWER
+            out.update((part[i], got[i].copy()) for i in np.flatnonzero(got.any(axis=1)))
+        return out
 
     def near(self, found: list[str]) -> list[str]:
         """The units, all of one length, that an upper bound on their kernel values doesn't clear."""
@@ -178,7 +202,7 @@ class Landmarks:
             for u in us:
                 if len(u) >= 3:
                     by_length.setdefault(len(u), set()).add(u)
-        value = {u: v for group in by_length.values() for u in self.near(sorted(group)) if (v := self.value(u)) is not None}
+        value = {u: v for group in by_length.values() if (close := self.near(sorted(group))) for u, v in self.values(close).items()}
         for c, us in own.items():
             found = [value[u] for u in us if u in value]
             self.known[c] = np.max(found, axis=0) if found else None
