@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Hidden Markov models
@@ -205,16 +207,116 @@ def impute_snp(genotype: dict[int, tuple[int, int]], cliques: list[list[tuple[in
     return {h: v for h, v in hap.items() if v}
 
 
-def impute(calls: DataFrame, cliques: DataFrame) -> DataFrame:
-    """snp, smp, allele, v. cliques: snp, grp, smp, allele."""
+def impute_snps(place, smp, a0, a1, of, grp, member, allele, threshold: float = 0.66) -> tuple[np.ndarray, ...]:
+    """``impute_snp`` for many SNPs at once: place, smp, allele, v of the known haplotypes, in that order.
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        genotype = {int(s): (int(a), int(b)) for s, a, b in zip(left["smp"], left["a0"], left["a1"], strict=True)}
-        groups = [sorted(zip(g["smp"].astype(int), g["allele"].astype(int), strict=True)) for _, g in right.sort_values(["grp"]).groupby("grp")]
-        got = impute_snp(genotype, groups, most=10 + 4 * (len(left) + len(right)))
-        return pd.DataFrame([(int(key[0]), s, a, v) for (s, a), v in sorted(got.items())], columns=["snp", "smp", "allele", "v"])
-
-    return calls.groupBy("snp").cogroup(cliques.groupBy("snp")).applyInPandas(run, "snp long, smp long, allele int, v int")
+    place, smp, a0, a1: the calls; of, grp, member, allele: the cliques' members (``of`` is their place). A haplotype in
+    several cliques of a SNP acts through the last by grp. Each SNP has its own queue, and each step takes one haplotype
+    from every queue that isn't empty, so the order within a SNP is that of ``impute_snp``."""
+    ratio = threshold / (1 - threshold)
+    order = np.lexsort((allele, member, grp, of))
+    of, grp, member, allele = of[order], grp[order], member[order], allele[order]
+    samples, code = np.unique(np.concatenate([smp, member]), return_inverse=True)
+    keys, slot = np.unique(np.concatenate([place, of]) * len(samples) + code, return_inverse=True)
+    at = keys // len(samples)
+    n = len(keys)
+    g = np.zeros((n, 2), np.int64)
+    g[slot[: len(place)]] = np.column_stack([a0, a1])
+    hap = np.zeros(2 * n, np.int64)
+
+    # Cliques, and each haplotype without one by itself
+    members = 2 * slot[len(place) :] + allele
+    first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (grp[1:] != grp[:-1])][: len(of)])
+    size = np.diff(np.r_[first, len(of)])
+    clique = np.full(2 * n, -1)
+    np.maximum.at(clique, members, np.repeat(np.arange(len(first)), size))
+    alone = np.flatnonzero(clique < 0)
+    clique[alone] = len(first) + np.arange(len(alone))
+    start, size = np.r_[first, len(of) + np.arange(len(alone))], np.r_[size, np.ones(len(alone), np.int64)]
+    members = np.r_[members, alone]
+
+    # Queues side by side: no haplotype comes twice, so each SNP has room for all of its own
+    same = (g[:, 0] != 0) & (g[:, 0] == g[:, 1])
+    hap[np.repeat(same, 2)] = np.repeat(g[same, 0], 2)
+    queue = np.zeros(2 * n, np.int64)
+    places = int(at[-1]) + 1 if n else 0
+    head = 2 * np.searchsorted(at, np.arange(places))
+    known = np.flatnonzero(np.repeat(same, 2))
+    owner = at[known >> 1]
+    count = np.bincount(owner, minlength=places)
+    queue[head[owner] + _places(count)] = known
+    tail = head + count
+    live = np.flatnonzero(head < tail)
+    while len(live):
+        c = clique[queue[head[live]]]
+        head[live] += 1
+        width = size[c]
+        begin = np.cumsum(width) - width
+        owner = np.repeat(np.arange(len(live)), width)
+        m = members[np.repeat(start[c], width) + _places(width)]
+        n1, n2 = (np.add.reduceat(hap[m] == v, begin, dtype=np.int64) for v in (1, 2))
+        value = np.where(n1 >= ratio * n2, 1, np.where(n2 >= ratio * n1, 2, 0))[owner]
+        hap[m[value > 0]] = value[value > 0]
+        s = m >> 1
+        x, y = hap[2 * s], hap[2 * s + 1]
+        half = np.flatnonzero(g[s].any(axis=1) & ((x == 0) != (y == 0)))
+        s, side, h = s[half], (x[half] == 0).astype(np.int64), (x + y)[half]
+        mine, yours = g[s, side], g[s, 1 - side]
+        other = np.where((mine != 0) & (mine != h) & (mine != yours), mine, np.where((mine == h) | ((mine == 0) & (yours == 3 - h)), yours, 0))
+        to = 2 * s + 1 - side
+        once = np.sort(np.unique(to, return_index=True)[1])
+        once = once[other[once] != 0]
+        to, owner = to[once], owner[half][once]
+        hap[to] = other[once]
+        count = np.bincount(owner, minlength=len(live))
+        queue[tail[live][owner] + _places(count)] = to
+        tail[live] += count
+        live = live[head[live] < tail[live]]
+    both = hap.reshape(-1, 2)
+    fuller = (g != 0).sum(axis=1) > (both != 0).sum(axis=1)
+    both[fuller] = g[fuller]
+    found = np.flatnonzero(hap)
+    return at[found >> 1], samples[(keys % max(len(samples), 1))[found >> 1]], found & 1, hap[found]
+
+
+def _places(count: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each of runs of these lengths."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def impute(calls: DataFrame, cliques: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """snp, smp, allele, v. cliques: snp, grp, smp, allele. A SNP comes in one row, and many are done at once, up to about
+    ``most`` calls and members, as a call for each would cost more than its work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            snps, lists = batch.columns
+            ends = lists.offsets.to_numpy()
+            begin = 0
+            while begin < len(snps):
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, "right")) - 1)
+                yield imputed(snps.slice(begin, end - begin), lists.slice(begin, end - begin).flatten(), np.diff(ends[begin : end + 1]))
+                begin = end
+
+    def imputed(snps: pa.Array, rows: pa.StructArray, n: np.ndarray) -> pa.RecordBatch:
+        member, grp, *rest = rows.flatten()
+        if any(c.null_count for c in (snps, *rest)):
+            raise ValueError("a call or a clique's member has a null")
+        member = member.to_numpy(zero_copy_only=False)
+        call, member = ~member, member & grp.is_valid().to_numpy(zero_copy_only=False)
+        place, grp = np.repeat(np.arange(len(n)), n), grp.fill_null(0).to_numpy()
+        smp, x, y = (c.to_numpy() for c in rest)
+        if not np.isin(x[member], (0, 1)).all():
+            raise ValueError("haplotypes of a sample are 0 and 1")
+        at, *got = impute_snps(place[call], smp[call], x[call], y[call], place[member], grp[member], smp[member], x[member])
+        types = (pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([snps.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(got, types, strict=True))], ["snp", "smp", "allele", "v"])
+
+    def packed(df: DataFrame, member: bool, grp: Column, x: Column, y: Column) -> DataFrame:
+        return df.select(F.col("snp").cast("long"), F.struct(F.lit(member), grp.cast("long"), F.col("smp").cast("long"), x.cast("int"), y.cast("int")).alias("row"))
+
+    rows = packed(calls, False, F.lit(None), F.col("a0"), F.col("a1")).union(packed(cliques, True, F.col("grp"), F.col("allele"), F.lit(0)))
+    return rows.groupBy("snp").agg(F.collect_list("row").alias("rows")).mapInArrow(run, "snp long, smp long, allele int, v int")
 
 
 def consensus(values: DataFrame, by: list[str], how: str = "majority") -> DataFrame:

@@ -511,10 +511,9 @@ def k_hmm_hap(s, d):
 
 @query()
 def k_impute_cliques(s, d):
-    groups = F.floor(F.col("smp") / 4)
-    one = ad.calls(s, d).select("snp", (groups * 2).alias("grp"), "smp", F.lit(0).alias("allele"))
-    cliques = one.union(one.select("snp", F.col("grp") + 1, "smp", F.lit(1)))
-    return kernels.impute(ad.calls(s, d), cliques)
+    calls = ad.calls(s, d)
+    sides = calls.select("snp", "smp", F.explode(F.array(F.lit(0), F.lit(1))).alias("allele"))
+    return kernels.impute(calls, sides.select("snp", (F.floor(F.col("smp") / 4) * 2 + F.col("allele")).alias("grp"), "smp", "allele"))
 
 
 @query(with_sql("imputed", """, m AS (SELECT snp, smp//8 AS grp, AVG(CASE WHEN b0<>0 THEN b0 END) AS mean FROM imputed GROUP BY 1,2)

@@ -197,6 +197,27 @@ def test_imputation_from_partial_genotypes():
     assert [kernels.other_allele(1, *g) for g in ((1, 2), (2, 1), (2, 0), (0, 2), (0, 1), (1, 0), (2, 2), (0, 0))] == [2, 2, 2, 2, 0, 0, 0, 0]
 
 
+def test_imputation_of_many_snps_at_once(spark):
+    """Many SNPs in one call give what each gives alone: partial genotypes, samples without a call, members named twice,
+    haplotypes in two cliques, both haplotypes of a sample in one, SNPs without cliques or without calls."""
+    rng = np.random.default_rng(5)
+    calls, members, want = [], [], []
+    for snp in range(60):
+        genotype = {int(s): (int(rng.integers(3)), int(rng.integers(3))) for s in rng.choice(15, rng.integers(12), replace=False)}
+        cliques = [sorted((int(rng.integers(15)), int(rng.integers(2))) for _ in range(rng.integers(1, 7))) for _ in range(rng.integers(6))]
+        calls += [(snp * 7, s, a, b) for s, (a, b) in genotype.items()]
+        members += [(snp * 7, 3 * k, s, a) for k, c in enumerate(cliques) for s, a in c]
+        want += [(snp * 7, s, a, v) for (s, a), v in kernels.impute_snp(genotype, cliques).items()]
+    left = spark.createDataFrame(calls, "snp long, smp long, a0 int, a1 int")
+    right = spark.createDataFrame(members, "snp long, grp long, smp long, allele int")
+    assert {m[0] for m in members} - {c[0] for c in calls} and {c[0] for c in calls} - {m[0] for m in members}
+    for most in (1, 40, 1 << 17):
+        assert rows(kernels.impute(left, right, most), "snp", "smp", "allele", "v") == sorted(want)
+    assert kernels.impute(left.limit(0), right).count() == 0
+    plan = kernels.impute(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+
+
 def test_median_of_any_width(spark):
     values = [3, 1, 4, 1, 5, 9, 2, 6]
     for n, width in ((8, 3), (8, 7), (2, 5), (1, 5)):
