@@ -2,7 +2,8 @@
 
 The leaves hold (rank, position) of the merge that each symbol makes with the one after it; the root is the leftmost
 merge of lowest rank. Applying it changes three leaves, each in logarithmic time, until the root is empty. Words are
-cut by the tokenizer file's own pattern and cached in bounded memory; whole texts are never cut at any length.
+cut by the tokenizer file's own pattern and cached in bounded memory; whole texts are never cut at any length. A task
+of ``encoded``, which other stages share workers with, empties the caches when it ends.
 
 The vocabulary, the merges and the special tokens are read from a tokenizer file of the ``tokenizers`` library with
 the layout of ``word_bpe_49k.json``: NFC, white space dropped, lower case, byte-level alphabet, a word-end suffix.
@@ -14,12 +15,15 @@ repeated results; other columns are not read.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -141,6 +145,15 @@ class Bpe:
         symbols[-1] = self.final[raw[-1]]
         return self.merge(symbols)
 
+    def forget(self) -> None:
+        """Empty the caches, and give the system the memory that is free then."""
+        for cache in (self.cache, self.chunks):
+            cache.clear()
+            cache.old = {}
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+            trim(0)
+
     def words(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
         if not text.isascii():
@@ -216,16 +229,24 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """All columns but those that are made here, then ids array<int> and decoded text."""
     keep = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
 
+    def one(bpe: Bpe, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, decoded = [np.zeros(0, np.int32)], []
+        for text in batch.column(batch.num_columns - 1):
+            s, d = bpe.written(text.as_py() or "")
+            ids.append(np.fromstring(s, np.int32, sep=" ") if s else ids[0])
+            decoded.append(d)
+        n = np.array([len(x) for x in ids])  # the first belongs to no text
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(n), pa.int32()), pa.array(np.concatenate(ids)))
+        columns = [batch.column(k) for k in range(len(keep))] + [pa.array(n[1:], pa.int64()), lists, pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids", "decoded"])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            ids, decoded = [], []
-            for text in batch.column(batch.num_columns - 1):
-                s, d = bpe.written(text.as_py() or "")
-                ids.append([int(i) for i in s.split(" ")] if s else [])
-                decoded.append(d)
-            columns = [batch.column(k) for k in range(len(keep))] + [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids", "decoded"])
+        try:
+            for batch in batches:
+                yield one(bpe, batch)
+        finally:
+            bpe.forget()  # the worker stays for other stages, and what it holds is the executor's memory
 
     source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])

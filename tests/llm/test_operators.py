@@ -262,6 +262,22 @@ def test_bpe_as_the_library(spark, docs, odd, empty, library):
     assert bpe.encoded(odd.withColumn("ids", F.lit(1)), path).columns[-3:] == ["n_tokens", "ids", "decoded"]
 
 
+def test_encoded_leaves_no_words_in_workers(spark, docs, odd, empty, tmp_path):
+    path = shutil.copy(tokenizer_path("word_bpe_49k.json"), tmp_path / "own.json")
+    ours = bpe.Bpe(path)
+    for rows in (docs, odd, empty):
+        want = sorted((repr(r.doc_id), ours.encode(r.text or ""), ours.written(r.text or "")[1]) for r in rows.collect())
+        got = bpe.encoded(rows.repartition(8), str(path)).collect()
+        assert sorted((repr(r.doc_id), list(r.ids), r.decoded) for r in got) == want and all(r.n_tokens == len(r.ids) for r in got)
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(c) + len(c.old) for b in [bpe._loaded.get(str(path))] if b for c in (b.cache, b.chunks)], pa.int64())], ["n"])
+
+    left = [r.n for r in spark.range(0, 64, 1, 16).select("id").mapInArrow(held, "n long").collect()]
+    assert left and not any(left)
+
+
 def test_segment_tree_is_the_minimum():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1000, 13).tolist()
